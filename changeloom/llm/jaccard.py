@@ -24,7 +24,7 @@ from changeloom.llm.components import components
 from changeloom.llm.shared import cut
 
 U64 = np.uint64
-HOT_LEAST, HOT_MOST, FEW, GROUP, ROUNDS = 12, 1 << 19, 500_000, 64, 3
+HOT_LEAST, HOT_MOST, FEW, GROUP, ROUNDS, BITMAP = 12, 1 << 19, 500_000, 64, 3, 1024
 SAMPLED = U64(1 << 62)  # tokens below it, a quarter of all, are counted: prefixes hardly reach beyond
 
 
@@ -130,18 +130,30 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def _full_sets(base: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id, n, tokens of the whole sets of the given documents, computed again from their texts; rows that repeat a doc_id give several."""
+    """id, size, bits, tokens of the whole sets of the given documents, computed again from their texts; rows that repeat a doc_id give several.
+
+    bits is the parity of the tokens in each of BITMAP cells: two sets of which d cells differ share at most (na + nb - d) / 2 tokens.
+    """
 
     def rows(ids, sets):
         n = [len(s) for s in sets]
-        return [ids, pa.array(n, pa.int64()), kernel.ragged(_flat(sets).view(np.int64), np.array(n, np.int64), pa.int64())]
+        bits = np.zeros((len(sets), BITMAP), np.uint8)
+        for i, s in enumerate(sets):
+            bits[i] = np.bincount((s & U64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
+        packed = np.packbits(bits, axis=1).view(np.int64).ravel()
+        return [ids, pa.array(n, pa.int64()), kernel.ragged(packed, np.full(len(sets), BITMAP // 64), pa.int64()), kernel.ragged(_flat(sets).view(np.int64), np.array(n, np.int64), pa.int64())]
 
     wanted = base.join(_few(ids), F.col("doc_id") == F.col("want"), "left_semi")
-    return cut(_each(wanted, k, rows, "id long, size long, tokens array<long>"), "full")
+    return cut(_each(wanted, k, rows, "id long, size long, bits array<long>, tokens array<long>"), "full")
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, na, b, nb, ...) that qualify, by their whole sets."""
+    """The pairs (a, na, b, nb, ...) that qualify, by their whole sets; those that the bitmaps rule out never meet."""
+    side = lambda x: full.select(F.col("id").alias(x), F.col("size").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
+    differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    most = (F.col("na") + F.col("nb") - differ) / 2
+    pairs = pairs.join(side("a"), ["a", "na"]).join(side("b"), ["b", "nb"]).where(100 * most >= percent * (F.col("na") + F.col("nb") - most)).drop("ba", "bb")
+    pairs = cut(pairs.distinct(), "near")
     left = full.select(F.col("id").alias("a"), F.col("size").alias("na"), F.col("tokens").alias("ta"))
     right = full.select(F.col("id").alias("b"), F.col("size").alias("nb"), F.col("tokens").alias("tb"))
     both = pairs.join(left, ["a", "na"]).join(right, ["b", "nb"])
