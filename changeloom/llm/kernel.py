@@ -14,6 +14,9 @@ import pyarrow as pa
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_KIND = np.zeros(256, np.uint8)  # 1: ASCII letter, 2: ASCII mark other than an apostrophe
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[[x for x in b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = U64(0x9E3779B97F4A7C15)
@@ -49,9 +52,9 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words of a run of documents: start, end (byte offsets), doc (index in the run), hash."""
+    """Words of a run of documents: start, end (byte offsets), doc (index in the run), hash. With marks, a word is cut between an ASCII letter and a mark too."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashes: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashes: bool = True, marks: bool = False):
         self.data, self.offsets, n = data, offsets, len(data)
         self.n_docs = len(offsets) - 1
         if not n:
@@ -65,9 +68,14 @@ class Words:
         begin[1:] &= space[:-1]
         edge = offsets[(offsets > 0) & (offsets < n)]
         begin[edge] = word[edge]
+        if marks:
+            kind = _KIND[data]
+            begin[1:] |= (kind[1:] | kind[:-1]) == 3
         close = word.copy()
         close[:-1] &= space[1:]
         close[edge - 1] = word[edge - 1]
+        if marks:
+            close[:-1] |= begin[1:] & word[:-1]
         self.start, self.end = np.flatnonzero(begin), np.flatnonzero(close) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(self.n_docs), np.diff(self.first))

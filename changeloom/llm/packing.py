@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 
 from changeloom.llm import kernel
 
-LENGTH, SHARD_TOKENS, SHARD_DOCS = 2048, 1 << 20, 1500
+LENGTH, SHARD_TOKENS, SHARD_DOCS = 2048, 1 << 19, 1500
 K1, B, QUERY_TERMS = 1.2, 0.75, 16
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
 
 
 class WordTokenizer:
@@ -41,60 +41,49 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.start, self.size, self.flat, self.n = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint16), 0
+        self.keys, self.start, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
     def _pieces(self, word: str) -> int:
-        if word.isascii() and word.isalpha():
+        if word.isalpha():
             return 1
         return len(self.piece.findall(unicodedata.normalize("NFC", word).lower()))
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        sizes, ids = [], []
-        groups, last = [], 0
-        for i in range(0, len(words), 4000):
-            groups.append(words[i : i + 4000])
-        for group, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            a = np.array(e.ids, np.uint16)
-            stop = np.concatenate([[0], np.flatnonzero(self.ends[a]) + 1])
-            upto = np.cumsum([self._pieces(w) for w in group])
-            if len(a) and stop[-1] == len(a) and upto[-1] == len(stop) - 1:
-                ids.append(a)
-                sizes.append(np.diff(np.concatenate([[0], stop[upto]])))
-            else:  # a word whose pieces are not plain: one by one
-                for x in self.tok.encode_batch_fast(group, add_special_tokens=False):
-                    ids.append(np.array(x.ids, np.uint16))
-                    sizes.append(np.array([len(x.ids)]))
-        size, flat = np.concatenate(sizes), np.concatenate(ids)
-        last = int(self.start[self.n - 1] + self.size[self.n - 1]) if self.n else 0
-        while self.n + len(size) > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.start, self.size))
-        while last + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint16)])
-        self.start[self.n : self.n + len(size)] = last + np.cumsum(size) - size
-        self.size[self.n : self.n + len(size)] = size
-        self.flat[last : last + len(flat)] = flat
-        self.known.update(zip(hashes, range(self.n, self.n + len(size)), strict=True))
-        self.n += len(size)
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and how many each has. They are encoded as one text where its piece ends tell the words apart."""
+        e = np.array(self.tok.encode(" ".join(words), add_special_tokens=False).ids, np.uint16)
+        stop = np.concatenate([[0], np.flatnonzero(self.ends[e]) + 1])
+        upto = np.cumsum([self._pieces(w) for w in words])
+        if len(e) and stop[-1] == len(e) and upto[-1] == len(stop) - 1:
+            return e, np.diff(np.concatenate([[0], stop[upto]]))
+        own = [x.ids for x in self.tok.encode_batch(words, add_special_tokens=False)]  # a word whose pieces are not plain: one by one
+        return np.array([i for x in own for i in x], np.uint16), np.array([len(x) for x in own])
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Adds words with their (sorted, new) keys."""
+        got = [self._encode(words[i : i + 2000]) for i in range(0, len(words), 2000)]
+        size = np.concatenate([x[1] for x in got])
+        start = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, *(x[0] for x in got)])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.start, self.size = np.insert(self.keys, at, keys), np.insert(self.start, at, start), np.insert(self.size, at, size)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, final: int) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all documents, each closed by `final`, and their lengths."""
-        w = kernel.Words(data, offsets)
+        w = kernel.Words(data, offsets, marks=True)
         uniq, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        if self.n + len(uniq) > CACHED_WORDS:
+        if len(self.keys) + len(uniq) > CACHED_WORDS:
             self.clear()
-        hashes = uniq.tolist()
-        new = [i for i, h in enumerate(hashes) if h not in self.known]
-        if new:
-            raw = data.tobytes()
-            at = first[new]
-            self._learn([hashes[i] for i in new], [raw[s:e].decode() for s, e in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
-        slot = np.fromiter(map(self.known.__getitem__, hashes), np.int64, len(hashes))[inverse]
+        at = np.searchsorted(self.keys, uniq)
+        known = self.keys[np.minimum(at, len(self.keys) - 1)] == uniq if len(self.keys) else np.zeros(len(uniq), bool)
+        if not known.all():
+            raw, new = data.tobytes(), first[~known]
+            self._learn(uniq[~known], [raw[s:e].decode() for s, e in zip(w.start[new].tolist(), w.end[new].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, uniq)
+        slot = at[inverse]
         size = self.size[slot]
         upto = np.concatenate([[0], np.cumsum(size)])
-        per_doc = np.diff(upto[w.first])
         ids = self.flat[np.repeat(self.start[slot] - upto[:-1], size) + np.arange(upto[-1])]
-        return np.insert(ids, upto[w.first[1:]], final), per_doc + 1
+        return np.insert(ids, upto[w.first[1:]], final), np.diff(upto[w.first]) + 1
 
 
 class Index:
@@ -208,7 +197,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, final: int = 1, with_id
 
         for b in batches:
             key = np.array(b.column(0).to_pylist(), object)
-            for i, j, data, off in kernel.slices(b.column(1), 2 << 20):
+            for i, j, data, off in kernel.slices(b.column(1)):
                 flat, length = tok.encode(data, off, final)
                 ends = np.concatenate([[0], np.cumsum(length)])
                 k = 0
