@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from changeloom.llm import kernel
 from changeloom.llm.shared import cut, partitions
 
-GRAM, MANY, FEW = 12, 64, 300_000
+GRAM, MANY, FEW = 12, 64, 500_000
 U64 = np.uint64
 
 
@@ -130,9 +130,17 @@ def _runs(starts: list[int]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """A broadcast hint for a table of checked size; beyond FEW rows both sides are dealt by key."""
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+def _with(rows: DataFrame, more: DataFrame, outer: bool) -> DataFrame:
+    """rows joined with the columns of more by key (in `of`). Up to FEW keys (a long each) are broadcast, so that only rows that have a partner are dealt by key; beyond that all are."""
+    keys = more.select("of")
+    if keys.limit(FEW + 1).count() > FEW:
+        return rows.join(more, F.col("key") == F.col("of"), "left" if outer else "inner").drop("of")
+    keys = F.broadcast(keys)
+    some = rows.join(keys, F.col("key") == F.col("of"), "left_semi").join(more.hint("merge"), F.col("key") == F.col("of")).drop("of")
+    if not outer:
+        return some
+    rest = rows.join(keys, F.col("key") == F.col("of"), "left_anti")
+    return some.unionByName(rest.withColumns({c: F.lit(None).cast(more.schema[c].dataType) for c in more.columns if c != "of"}))
 
 
 def repeated_spans(rows: DataFrame, span: int) -> DataFrame:
@@ -158,7 +166,7 @@ def repeated_spans(rows: DataFrame, span: int) -> DataFrame:
     shards = kinds.groupBy(F.col("anchor").alias("shard")).agg(F.count("*").alias("m"), F.min("w").alias("least")).where("m > 1 and least = 1").select("shard", "m")
     ask = kinds.join(shards, F.col("anchor") == F.col("shard")).select("anchor", "w", "at.*", (F.col("m") > MANY).alias("hot"))
     ask = cut(ask.groupBy(F.col("key").alias("of")).agg(F.collect_list(F.struct("anchor", F.least("w", F.lit(2)).cast("int").alias("w"), "a", "n", "hot")).alias("asked")), "asked")
-    texts = rows.join(_few(ask), F.col("key") == F.col("of")).select("key", "text", "asked.anchor", "asked.w", "asked.a", "asked.n", "asked.hot")
+    texts = _with(rows, ask, outer=False).select("key", "text", "asked.anchor", "asked.w", "asked.a", "asked.n", "asked.hot")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,7 +235,7 @@ def remove_repeats(docs: DataFrame, span: int = 35, with_text: bool = False, kee
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
     base = base.withColumn("key", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(base.select("key", "text"), span)
-    joined = base.join(_few(spans.withColumnRenamed("key", "k")), F.col("key") == F.col("k"), "left")
+    joined = _with(base, spans.withColumnRenamed("key", "of"), outer=True)
     joined = joined.select("doc_id", "text", F.col("spans.s").alias("s"), F.col("spans.e").alias("e"), *[f"keep_{i}" for i in range(len(keep))])
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
 
