@@ -157,7 +157,7 @@ def repeated_spans(rows: DataFrame, span: int) -> DataFrame:
                 yield pa.record_batch([pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), pa.array(keys), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], names=["anchor", "ctx", "key", "a", "n"])
 
     every = cut(rows.mapInArrow(find, "anchor long, ctx long, key long, a int, n int"), "passages")
-    twice = every.groupBy(F.col("anchor").alias("again")).count().where("count > 1").select("again")
+    twice = cut(every.groupBy(F.col("anchor").alias("again")).count().where("count > 1").select("again"), "twice")  # a table, so that the join below can split a hot anchor
     found = cut(every.join(twice, F.col("anchor") == F.col("again"), "left_semi"), "found")
     kinds = cut(found.groupBy("anchor", "ctx").agg(F.count("*").alias("w"), F.min(F.struct("key", "a", "n")).alias("at")), "kinds")
     # equal passages: every window of them has another place
