@@ -24,7 +24,7 @@ from changeloom.llm.components import components
 from changeloom.llm.shared import cut
 
 U64 = np.uint64
-HOT_LEAST, HOT_MOST, FEW, GROUP, ROUNDS, BITMAP = 12, 1 << 19, 500_000, 64, 3, 1024
+HOT_LEAST, HOT_MOST, FEW, GROUP, ROUNDS, BITMAP = 12, 1 << 19, 200_000, 64, 3, 1024
 SAMPLED = U64(1 << 62)  # tokens below it, a quarter of all, are counted: prefixes hardly reach beyond
 
 
@@ -77,9 +77,9 @@ def hot_tokens(docs: DataFrame, k: int) -> np.ndarray:
     return np.sort(counts.where(F.col("bin") >= least).select("token").toArrow()["token"].to_numpy().view(U64))
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """A broadcast hint for a table of checked size; beyond FEW rows both sides are dealt by key."""
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+def _few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """A broadcast hint for a table of short rows of checked number; beyond `most` both sides are dealt by key."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def _overlap(a: Column, b: Column, na: Column, nb: Column, percent: int) -> Column:
@@ -121,9 +121,11 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     sets = cut(_each(base, k, rows, "doc_id long, n long, d1 long, d2 long, prefix array<long>, low array<long>"), "sets")
     some = sets.where("n > 0")
-    classes = cut(some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("low").alias("low")), "classes")
+    names = cut(some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "names")
+    one = names.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "rep")
+    classes = some.join(_few(one, 300_000), (F.col("doc_id") == F.col("rep")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))).select("d1", "d2", "n", "rep", "prefix", "low")
     comp = _components_of(base, classes, k, percent)
-    known = classes.select("d1", "d2", F.col("n").alias("m"), "rep").join(comp, F.col("rep") == F.col("node"), "left").select("d1", "d2", "m", "rep", F.coalesce("comp", "rep").alias("comp"))
+    known = names.select("d1", "d2", F.col("n").alias("m"), "rep").join(comp, F.col("rep") == F.col("node"), "left").select("d1", "d2", "m", "rep", F.coalesce("comp", "rep").alias("comp"))
     known = cut(known, "known")
     out = sets.select("doc_id", "n", "d1", "d2").join(known.withColumnsRenamed({"d1": "e1", "d2": "e2"}), (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("m")), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("comp", "doc_id").alias("component_id"))
@@ -149,7 +151,7 @@ def _full_sets(base: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, na, b, nb, ...) that qualify, by their whole sets; those that the bitmaps rule out never meet."""
-    side = lambda x: full.select(F.col("id").alias(x), F.col("size").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
+    side = lambda x: _few(full.select(F.col("id").alias(x), F.col("size").alias(f"n{x}"), F.col("bits").alias(f"b{x}")), 100_000)
     differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     most = (F.col("na") + F.col("nb") - differ) / 2
     pairs = pairs.join(side("a"), ["a", "na"]).join(side("b"), ["b", "nb"]).where(100 * most >= percent * (F.col("na") + F.col("nb") - most)).drop("ba", "bb")
@@ -179,7 +181,7 @@ def _components_of(base: DataFrame, classes: DataFrame, k: int, percent: int) ->
     # the matrix: tokens of those that must share one, by group; tokens within one component open nothing
     sizes = comp.groupBy("comp").agg(F.count("*").alias("c"))
     where = cut(comp.join(sizes, "comp").select("node", "comp", "c", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / GROUP)).alias("bucket")), "where")
-    member = cut(classes.select("rep", "n", "prefix").join(where, F.col("rep") == F.col("node"), "left").select("rep", "n", "prefix", F.coalesce("comp", "rep").alias("comp"), F.coalesce("c", F.lit(1)).alias("c"), F.coalesce("bucket", F.lit(0)).alias("bucket")), "member")
+    member = classes.select("rep", "n", "prefix").join(_few(where), F.col("rep") == F.col("node"), "left").select("rep", "n", "prefix", F.coalesce("comp", "rep").alias("comp"), F.coalesce("c", F.lit(1)).alias("c"), F.coalesce("bucket", F.lit(0)).alias("bucket"))
     tokens = member.select(F.explode("prefix").alias("token"), "rep", "n", "comp", "c", "bucket")
     several = cut(tokens.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token"), "several")
     shared = cut(tokens.join(_few(several), "token"), "shared")
