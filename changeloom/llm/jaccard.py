@@ -184,7 +184,7 @@ def _components_of(base: DataFrame, classes: DataFrame, k: int, percent: int) ->
     member = classes.select("rep", "n", "prefix").join(_few(where), F.col("rep") == F.col("node"), "left").select("rep", "n", "prefix", F.coalesce("comp", "rep").alias("comp"), F.coalesce("c", F.lit(1)).alias("c"), F.coalesce("bucket", F.lit(0)).alias("bucket"))
     tokens = member.select(F.explode("prefix").alias("token"), "rep", "n", "comp", "c", "bucket")
     several = cut(tokens.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token"), "several")
-    shared = cut(tokens.join(_few(several), "token"), "shared")
+    shared = cut(tokens.join(_few(several, 1_500_000), "token"), "shared")
     union = shared.groupBy("token", "comp", "c", "bucket").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     group = union.select(F.col("token").alias("t"), F.col("comp").alias("gc"), F.col("c").alias("gn"), F.col("bucket").alias("gb"), "least", "most")
     smaller = F.struct("c", "comp") < F.struct(F.col("gn"), F.col("gc"))
