@@ -166,6 +166,14 @@ def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return (percent * a <= 100 * b) & (percent * b <= 100 * a)
 
 
+def _enough(met: Column, a: Column, b: Column, percent: int) -> Column:
+    """Whether sets of a and b tokens whose first n - ceil(t n) + 1 tokens share `met` may qualify.
+
+    All that they share beyond those tokens lies among the ceil(t n) - 1 last of one of them, and they must share t (a + b) / (1 + t).
+    """
+    return (100 + percent) * (100 * met + percent * F.greatest(a, b)) > 100 * percent * (a + b)
+
+
 def _components_of(base: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """node, comp of the classes that have links."""
     # cheap rounds: those that share a least hash are each compared with the first of them
@@ -189,8 +197,10 @@ def _components_of(base: DataFrame, classes: DataFrame, k: int, percent: int) ->
     group = union.select(F.col("token").alias("t"), F.col("comp").alias("gc"), F.col("c").alias("gn"), F.col("bucket").alias("gb"), "least", "most")
     smaller = F.struct("c", "comp") < F.struct(F.col("gn"), F.col("gc"))
     fits = (percent * F.col("n") <= 100 * F.col("most")) & (percent * F.col("least") <= 100 * F.col("n"))
-    # the bound: of its first n - ceil(t n) + 1 tokens a query must have one at least in a group's union
-    opened = cut(shared.join(group, (F.col("token") == F.col("t")) & smaller & fits).select("rep", "n", "comp", "gc", "gb").distinct(), "opened")
+    # the bound: how many of its first n - ceil(t n) + 1 tokens a query has in a group's union
+    met = shared.join(group, (F.col("token") == F.col("t")) & smaller & fits).groupBy("rep", "n", "comp", "gc", "gb").agg(F.count("*").alias("met"), F.min("least").alias("least"), F.max("most").alias("most"))
+    low, high = F.greatest("least", F.expr(f"cast(ceil({percent} * n / 100.0) as long)")), F.least("most", F.expr(f"cast(floor(100 * n / {percent}.0) as long)"))
+    opened = cut(met.where(_enough(F.col("met"), F.col("n"), low, percent) | _enough(F.col("met"), F.col("n"), high, percent)).select("rep", "n", "comp", "gc", "gb"), "opened")
     inside = member.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("gc"), F.col("bucket").alias("gb"))
     pairs = opened.select(F.col("rep").alias("a"), F.col("n").alias("na"), "comp", "gc", "gb").join(inside, ["gc", "gb"]).where(_sizes_fit(F.col("na"), F.col("nb"), percent))
     pairs = cut(pairs.select("a", "na", "b", "nb", "comp", "gc"), "pairs")
