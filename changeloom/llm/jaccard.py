@@ -25,7 +25,8 @@ from changeloom.llm.shared import cut
 
 U64 = np.uint64
 HOT_LEAST, HOT_MOST, FEW, GROUP, ROUNDS, BITMAP = 12, 1 << 19, 200_000, 64, 3, 1024
-SAMPLED = U64(1 << 62)  # tokens below it, a quarter of all, are counted: prefixes hardly reach beyond
+SAMPLED = U64(1 << 62)  # tokens below it, a quarter of all, are all counted: prefixes of texts with enough rare tokens hardly reach beyond
+HELD = 1 << 22  # of the others those are counted that repeat among so many tokens of a task, as those of large families do
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -61,10 +62,26 @@ def _flat(sets: list[np.ndarray]) -> np.ndarray:
 def hot_tokens(docs: DataFrame, k: int) -> np.ndarray:
     """The most frequent tokens, HOT_MOST at most, sorted. All documents are counted; the bound only shapes the token order, never the result."""
 
-    def make(_, sets):
-        return [pa.array(_flat([s[: np.searchsorted(s, SAMPLED)] for s in sets]).view(np.int64))]
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        x = np.sort(_flat(held))
+        start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+        n, x = np.diff(np.append(start, len(x))), x[start]
+        keep = (n > 1) | (x < SAMPLED)
+        return pa.record_batch([pa.array(x[keep].view(np.int64)), pa.array(n[keep])], names=["token", "n"])
 
-    counts = _each(docs, k, make, "token long").groupBy("token").count().where(F.col("count") >= HOT_LEAST)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for _, _, data, off in kernel.slices(b.column(1)):
+                held += shingle_sets(data, off, k)
+                size += len(off) + sum(map(len, held[1 - len(off) :]))
+                if size > HELD:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
+
+    counts = docs.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("count")).where(F.col("count") >= HOT_LEAST)
     counts = cut(counts.withColumn("bin", F.floor(F.log2("count") * 4).cast("int")), "df")
     bins = sorted(((r["bin"], r["count"]) for r in counts.groupBy("bin").count().collect()), reverse=True)  # some 200 rows
     least, total = None, 0
