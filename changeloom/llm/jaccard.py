@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.llm import kernel
@@ -24,7 +24,7 @@ from changeloom.llm.components import components
 from changeloom.llm.shared import cut
 
 U64 = np.uint64
-HOT_LEAST, HOT_MOST, FEW, GROUP, ROUNDS, BITMAP = 12, 1 << 19, 200_000, 64, 3, 1024
+HOT_LEAST, HOT_MOST, FEW, GROUP, ROUNDS, BITMAP = 12, 1 << 19, 200_000, 16, 3, 1024
 SAMPLED = U64(1 << 62)  # tokens below it, a quarter of all, are all counted: prefixes of texts with enough rare tokens hardly reach beyond
 HELD = 1 << 22  # of the others those are counted that repeat among so many tokens of a task, as those of large families do
 
@@ -206,7 +206,8 @@ def _components_of(base: DataFrame, classes: DataFrame, k: int, percent: int) ->
     # the matrix: tokens of those that must share one, by group; tokens within one component open nothing
     sizes = comp.groupBy("comp").agg(F.count("*").alias("c"))
     where = cut(comp.join(sizes, "comp").select("node", "comp", "c", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / GROUP)).alias("bucket")), "where")
-    member = classes.select("rep", "n", "prefix").join(_few(where), F.col("rep") == F.col("node"), "left").select("rep", "n", "prefix", F.coalesce("comp", "rep").alias("comp"), F.coalesce("c", F.lit(1)).alias("c"), F.coalesce("bucket", F.lit(0)).alias("bucket"))
+    band = F.when(F.col("c") > GROUP, F.floor(F.log("n") * 50) * (1 << 40) + F.col("bucket")).otherwise(0)  # sizes within 2 percent
+    member = classes.select("rep", "n", "prefix").join(_few(where), F.col("rep") == F.col("node"), "left").select("rep", "n", "prefix", F.coalesce("comp", "rep").alias("comp"), F.coalesce("c", F.lit(1)).alias("c"), band.alias("bucket"))
     tokens = member.select(F.explode("prefix").alias("token"), "rep", "n", "comp", "c", "bucket")
     several = cut(tokens.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token"), "several")
     shared = cut(tokens.join(_few(several, 1_500_000), "token"), "shared")
@@ -218,10 +219,21 @@ def _components_of(base: DataFrame, classes: DataFrame, k: int, percent: int) ->
     met = shared.join(group, (F.col("token") == F.col("t")) & smaller & fits).groupBy("rep", "n", "comp", "gc", "gb").agg(F.count("*").alias("met"), F.min("least").alias("least"), F.max("most").alias("most"))
     low, high = F.greatest("least", F.expr(f"cast(ceil({percent} * n / 100.0) as long)")), F.least("most", F.expr(f"cast(floor(100 * n / {percent}.0) as long)"))
     opened = cut(met.where(_enough(F.col("met"), F.col("n"), low, percent) | _enough(F.col("met"), F.col("n"), high, percent)).select("rep", "n", "comp", "gc", "gb"), "opened")
-    inside = member.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("gc"), F.col("bucket").alias("gb"))
-    pairs = opened.select(F.col("rep").alias("a"), F.col("n").alias("na"), "comp", "gc", "gb").join(inside, ["gc", "gb"]).where(_sizes_fit(F.col("na"), F.col("nb"), percent))
-    pairs = cut(pairs.select("a", "na", "b", "nb", "comp", "gc"), "pairs")
-    two = _verified(pairs, _full_sets(base, cut(ids(pairs), "ids"), k), percent)
-    joined = components(cut(two.select(F.col("comp").alias("a"), F.col("gc").alias("b")).distinct(), "joins")).withColumnsRenamed({"node": "old", "comp": "new"})
+    # a group is opened at its head first; the rest meet only those whose component that did not join
+    place = F.row_number().over(Window.partitionBy("gc", "gb").orderBy("b", "nb"))
+    inside = cut(member.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("gc"), F.col("bucket").alias("gb")).withColumn("head", place == 1), "inside")
+
+    def joins(opened: DataFrame, members: DataFrame) -> DataFrame:
+        pairs = opened.select(F.col("rep").alias("a"), F.col("n").alias("na"), "comp", "gc", "gb").join(members.drop("head"), ["gc", "gb"]).where(_sizes_fit(F.col("na"), F.col("nb"), percent))
+        pairs = cut(pairs.select("a", "na", "b", "nb", "comp", "gc"), "pairs")
+        found = _verified(pairs, _full_sets(base, cut(ids(pairs), "ids"), k), percent)
+        return cut(found.select(F.col("comp").alias("a"), F.col("gc").alias("b")).distinct(), "joins")
+
+    by_head = joins(opened, inside.where("head"))
+    label = components(by_head)
+    of = lambda x: _few(label.select(F.col("node").alias(x), F.col("comp").alias(f"new_{x}")))
+    apart = opened.join(of("comp"), "comp", "left").join(of("gc"), "gc", "left").where(F.coalesce("new_comp", "comp") != F.coalesce("new_gc", "gc"))
+    by_rest = joins(apart, inside.where("not head"))
+    joined = components(by_head.union(by_rest)).withColumnsRenamed({"node": "old", "comp": "new"})
     both = comp.unionByName(joined.select(F.col("old").alias("node"), F.col("old").alias("comp"))).distinct()
     return both.join(joined, F.col("comp") == F.col("old"), "left").groupBy("node").agg(F.min(F.coalesce("new", "comp")).alias("comp"))
