@@ -117,6 +117,7 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     def rows(ids, sets):
         n = np.array([len(s) for s in sets], np.int64)
         prefix, low, sums = [], np.zeros((len(sets), ROUNDS), np.int64), np.zeros((len(sets), 2), np.int64)
+        last = np.zeros(len(sets), np.int64)
         for i, s in enumerate(sets):
             if not len(s):
                 prefix.append(s)
@@ -130,17 +131,18 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
                     break
                 take = s[: 2 * len(take)]
             prefix.append(cold[:p] if len(cold) >= p else np.concatenate([cold, np.setdiff1d(s, cold)[: p - len(cold)]]))
+            last[i] = (int(len(cold) < p) << 62) + (int(prefix[i][-1]) >> 2)
             m = kernel.mix(s ^ U64(0x5851F42D4C957F2D))
             low[i, 0] = s[:1].view(np.int64)[0]
             low[i, 1], low[i, 2] = np.min(m).view(np.int64), np.min(m[: len(m)] * U64(0xDA942042E4DD58B5)).view(np.int64)
             sums[i] = np.sum(m, dtype=U64).view(np.int64), np.sum(kernel.mix(m), dtype=U64).view(np.int64)
-        return [ids, pa.array(n), pa.array(sums[:, 0]), pa.array(sums[:, 1]), kernel.ragged(_flat(prefix).view(np.int64), np.array([len(p) for p in prefix]), pa.int64()), kernel.ragged(low.ravel(), np.full(len(sets), ROUNDS), pa.int64())]
+        return [ids, pa.array(n), pa.array(sums[:, 0]), pa.array(sums[:, 1]), kernel.ragged(_flat(prefix).view(np.int64), np.array([len(p) for p in prefix]), pa.int64()), kernel.ragged(low.ravel(), np.full(len(sets), ROUNDS), pa.int64()), pa.array(last)]
 
-    sets = cut(_each(base, k, rows, "doc_id long, n long, d1 long, d2 long, prefix array<long>, low array<long>"), "sets")
+    sets = cut(_each(base, k, rows, "doc_id long, n long, d1 long, d2 long, prefix array<long>, low array<long>, last long"), "sets")
     some = sets.where("n > 0")
     names = cut(some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "names")
     one = names.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "rep")
-    classes = some.join(_few(one, 300_000), (F.col("doc_id") == F.col("rep")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))).select("d1", "d2", "n", "rep", "prefix", "low")
+    classes = some.join(_few(one, 300_000), (F.col("doc_id") == F.col("rep")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))).select("d1", "d2", "n", "rep", "prefix", "low", "last")
     comp = _components_of(base, classes, k, percent)
     known = names.select("d1", "d2", F.col("n").alias("m"), "rep").join(comp, F.col("rep") == F.col("node"), "left").select("d1", "d2", "m", "rep", F.coalesce("comp", "rep").alias("comp"))
     known = cut(known, "known")
@@ -191,6 +193,11 @@ def _enough(met: Column, a: Column, b: Column, percent: int) -> Column:
     return (100 + percent) * (100 * met + percent * F.greatest(a, b)) > 100 * percent * (a + b)
 
 
+def _reaches(most: Column, a: Column, b: Column, percent: int) -> Column:
+    """Whether sets of a and b tokens that share `most` tokens at most may qualify."""
+    return (100 + percent) * most >= percent * (a + b)
+
+
 def _components_of(base: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """node, comp of the classes that have links."""
     # cheap rounds: those that share a least hash are each compared with the first of them
@@ -207,24 +214,31 @@ def _components_of(base: DataFrame, classes: DataFrame, k: int, percent: int) ->
     sizes = comp.groupBy("comp").agg(F.count("*").alias("c"))
     where = cut(comp.join(sizes, "comp").select("node", "comp", "c", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / GROUP)).alias("bucket")), "where")
     band = F.when(F.col("c") > GROUP, F.floor(F.log("n") * 50) * (1 << 40) + F.col("bucket")).otherwise(0)  # sizes within 2 percent
-    member = classes.select("rep", "n", "prefix").join(_few(where), F.col("rep") == F.col("node"), "left").select("rep", "n", "prefix", F.coalesce("comp", "rep").alias("comp"), F.coalesce("c", F.lit(1)).alias("c"), band.alias("bucket"))
-    tokens = member.select(F.explode("prefix").alias("token"), "rep", "n", "comp", "c", "bucket")
+    member = classes.select("rep", "n", "prefix", "last").join(_few(where), F.col("rep") == F.col("node"), "left").select("rep", "n", "prefix", "last", F.coalesce("comp", "rep").alias("comp"), F.coalesce("c", F.lit(1)).alias("c"), band.alias("bucket"))
+    tokens = member.select(F.explode("prefix").alias("token"), "rep", "n", "comp", "c", "bucket", "last")
     several = cut(tokens.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token"), "several")
-    shared = cut(tokens.join(_few(several, 1_500_000), "token"), "shared")
-    union = shared.groupBy("token", "comp", "c", "bucket").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    group = union.select(F.col("token").alias("t"), F.col("comp").alias("gc"), F.col("c").alias("gn"), F.col("bucket").alias("gb"), "least", "most")
+    # those of its first tokens that no other component has among its own are lost to its pairs with sets whose first tokens go as
+    # far in the order (last is where they end): reach is the most that it can share with such a set
+    firsts = F.col("n") - F.expr(f"cast(ceil({percent} * n / 100.0) as long)") + 1
+    reach = F.col("n") - F.greatest(firsts - F.count("*").over(Window.partitionBy("rep", "n")), F.lit(0))
+    shared = cut(tokens.join(_few(several, 1_500_000), "token").withColumn("reach", reach), "shared")
+    union = shared.groupBy("token", "comp", "c", "bucket").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("gr"), F.min("last").alias("gl"), F.max("last").alias("gm"))
+    group = union.select(F.col("token").alias("t"), F.col("comp").alias("gc"), F.col("c").alias("gn"), F.col("bucket").alias("gb"), "least", "most", "gr", "gl", "gm")
     smaller = F.struct("c", "comp") < F.struct(F.col("gn"), F.col("gc"))
     fits = (percent * F.col("n") <= 100 * F.col("most")) & (percent * F.col("least") <= 100 * F.col("n"))
     # the bound: how many of its first n - ceil(t n) + 1 tokens a query has in a group's union
-    met = shared.join(group, (F.col("token") == F.col("t")) & smaller & fits).groupBy("rep", "n", "comp", "gc", "gb").agg(F.count("*").alias("met"), F.min("least").alias("least"), F.max("most").alias("most"))
+    reaches = (F.col("last") <= F.col("gm")) & _reaches(F.col("reach"), F.col("n"), F.col("least"), percent) | (F.col("gl") <= F.col("last")) & _reaches(F.col("gr"), F.col("n"), F.col("least"), percent)
+    met = shared.join(group, (F.col("token") == F.col("t")) & smaller & fits & reaches).groupBy("rep", "n", "reach", "last", "comp", "gc", "gb").agg(F.count("*").alias("met"), F.min("least").alias("least"), F.max("most").alias("most"))
     low, high = F.greatest("least", F.expr(f"cast(ceil({percent} * n / 100.0) as long)")), F.least("most", F.expr(f"cast(floor(100 * n / {percent}.0) as long)"))
-    opened = cut(met.where(_enough(F.col("met"), F.col("n"), low, percent) | _enough(F.col("met"), F.col("n"), high, percent)).select("rep", "n", "comp", "gc", "gb"), "opened")
+    opened = cut(met.where(_enough(F.col("met"), F.col("n"), low, percent) | _enough(F.col("met"), F.col("n"), high, percent)).select("rep", "n", "reach", "last", "comp", "gc", "gb"), "opened")
     # a group is opened at its head first; the rest meet only those whose component that did not join
     place = F.row_number().over(Window.partitionBy("gc", "gb").orderBy("b", "nb"))
-    inside = cut(member.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("gc"), F.col("bucket").alias("gb")).withColumn("head", place == 1), "inside")
+    inside = shared.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("reach").alias("rb"), F.col("last").alias("lb"), F.col("comp").alias("gc"), F.col("bucket").alias("gb")).distinct()
+    inside = cut(inside.withColumn("head", place == 1), "inside")
 
     def joins(opened: DataFrame, members: DataFrame) -> DataFrame:
-        pairs = opened.select(F.col("rep").alias("a"), F.col("n").alias("na"), "comp", "gc", "gb").join(members.drop("head"), ["gc", "gb"]).where(_sizes_fit(F.col("na"), F.col("nb"), percent))
+        reaches = _reaches(F.when(F.col("last") < F.col("lb"), F.col("reach")).when(F.col("lb") < F.col("last"), F.col("rb")).otherwise(F.greatest("reach", "rb")), F.col("na"), F.col("nb"), percent)
+        pairs = opened.select(F.col("rep").alias("a"), F.col("n").alias("na"), "reach", "last", "comp", "gc", "gb").join(members.drop("head"), ["gc", "gb"]).where(_sizes_fit(F.col("na"), F.col("nb"), percent) & reaches)
         pairs = cut(pairs.select("a", "na", "b", "nb", "comp", "gc"), "pairs")
         found = _verified(pairs, _full_sets(base, cut(ids(pairs), "ids"), k), percent)
         return cut(found.select(F.col("comp").alias("a"), F.col("gc").alias("b")).distinct(), "joins")
