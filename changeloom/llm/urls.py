@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from changeloom.llm import kernel
 from changeloom.llm.shared import cut
 
-ORDER, BITS, PULL, BINS = 5, 18, 4.0, 400
-U64 = np.uint64
+ORDER, PULL, BINS = 5, 4.0, 400
+WIDTH, FRACTION = 9, 32  # bits of a byte in a gram, of a weight's fraction
+MOST_SHARED, HOT = 500_000, 1000  # weights that are broadcast at once; beyond it only grams of more than 1/HOT of all places are
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -39,76 +40,64 @@ def apply_rules(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return df.withColumns({"rule": rule, "rule_verdict": verdict})
 
 
-def _keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte and order 0..ORDER: the cells of its context and of the context with it. Contexts stop at the start of the URL."""
-    n = len(data)
-    value = kernel._BYTE_VALUE[data] + U64(3)
-    pos = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
-    ctx, cells = np.zeros((ORDER + 1, n), np.int64), np.zeros((ORDER + 1, n), np.int64)
-    h = np.zeros(n, U64)
-    for o in range(ORDER + 1):
-        if o:
-            back = np.zeros(n, U64)
-            back[o:] = value[:-o] if o < n else 0
-            back[pos < o] = U64(o)
-            h = kernel.mix(h + back * kernel._STEP[o])
-        c = kernel.mix(h + U64(o + 1))
-        ctx[o] = (c >> U64(64 - BITS)).astype(np.int64) + (o << BITS)
-        cells[o] = (kernel.mix(c + value) >> U64(64 - BITS)).astype(np.int64) + (o << BITS)
-    return ctx, cells
+def _grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each byte: itself and the ORDER bytes before it, WIDTH bits each, the byte lowest. A byte is its value and one; 0 stands before the start of the URL."""
+    pos = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
+    value = data.astype(np.int64) + 1
+    out = value.copy()
+    for o in range(1, ORDER + 1):
+        back = np.zeros(len(data), np.int64)
+        back[o:] = value[:-o]
+        back[pos < o] = 0
+        out |= back << (WIDTH * o)
+    return out
 
 
-def train(labelled: DataFrame) -> np.ndarray:
-    """Counts [class, context or cell, order x 2**BITS] over every row of labelled (text, accepted). The table has a fixed size."""
+def url_grams(df: DataFrame) -> DataFrame:
+    """id, kind and the grams of each text of df (id, kind, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, 2, (ORDER + 1) << BITS), np.int32)
         for b in batches:
-            flag = np.asarray(b.column(1).to_pylist(), bool)
-            for i, j, data, off in kernel.slices(b.column(0)):
-                ctx, cells = _keys(data, off)
-                who = np.repeat(flag[i:j], np.diff(off)).astype(int)
-                for k in (0, 1):
-                    for a, keys in enumerate((ctx, cells)):
-                        table[k, a] += np.bincount(keys[:, who == k].ravel(), minlength=table.shape[2]).astype(np.int32)
-        flat = table.ravel()
-        at = np.flatnonzero(flat)
-        for i in range(0, len(at), 100_000):
-            yield pa.record_batch([pa.array(at[i : i + 100_000]), pa.array(flat[at[i : i + 100_000]].astype(np.int64))], names=["cell", "n"])
-
-    counts = labelled.select("text", "accepted").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    got = counts.toArrow()  # at most 4 x (ORDER+1) x 2**BITS rows, whatever the input
-    table = np.zeros(4 * ((ORDER + 1) << BITS), np.int32)
-    table[got["cell"].to_numpy()] = np.minimum(got["n"].to_numpy(), 2**31 - 1)
-    return table.reshape(2, 2, -1)
-
-
-def _ratio(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Log-likelihood of accepted less that of rejected, a byte; 0 for an empty URL."""
-    if not len(data):
-        return np.zeros(len(offsets) - 1)
-    ctx, cells = _keys(data, offsets)
-    logs = []
-    for k in (1, 0):
-        p = np.full(len(data), 1 / 256)
-        for o in range(ORDER + 1):
-            p = (table[k, 1][cells[o]] + PULL * p) / (np.maximum(table[k, 0][ctx[o]], table[k, 1][cells[o]]) + PULL)
-        logs.append(np.log(p))
-    total = np.concatenate([[0.0], np.cumsum(logs[0] - logs[1])])
-    return (total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(np.diff(offsets), 1)
-
-
-def score(df: DataFrame, table: np.ndarray, column: str = "text") -> DataFrame:
-    """Adds `ratio` to df by its URL text column."""
-    shared = df.sparkSession.sparkContext.broadcast(table)  # 4 x (ORDER+1) x 2**BITS int32: 25 MB at most
-    where, schema = df.columns.index(column), df.withColumn("ratio", F.lit(0.0)).schema
+            for i, j, data, off in kernel.slices(b.column(2)):
+                yield pa.record_batch([b.column(0)[i:j], b.column(1)[i:j], kernel.ragged(_grams(data, off), np.diff(off), pa.int64())], names=["id", "kind", "grams"])
+
+    return df.select("id", "kind", "text").mapInArrow(run, "id long, kind int, grams array<long>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            r = [_ratio(shared.value, data, off) for _, _, data, off in kernel.slices(b.column(where))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(r) if r else np.zeros(0), pa.float64())], names=[*b.schema.names, "ratio"])
 
-    return df.mapInArrow(run, schema)
+def weights(rows: DataFrame) -> DataFrame:
+    """gram, n, f of every gram in rows (kind, gram): how often it stands and its log-likelihood of accepted less that of rejected, in units of 2**-FRACTION.
+
+    Rows of kind 0 (rejected) and 1 (accepted) are counted, the others only looked up. A gram holds its cell of each order
+    in its low bits and, above its byte, that cell's context, so the counts are sums over whole keys. A context
+    has at most 256 cells and a cell at most 257 longer ones, so no key of these joins is hot.
+    """
+    seen = cut(rows.groupBy("gram").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == 0).alias("n0"), F.count_if(F.col("kind") == 1).alias("n1")), "grams")
+    p = None
+    for o in range(ORDER + 1):
+        last = (1 << (WIDTH * o)) - 1
+        cells = seen.groupBy(F.col("gram").bitwiseAND((1 << (WIDTH * (o + 1))) - 1).alias("cell")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        contexts = cells.groupBy(F.shiftright("cell", WIDTH).alias("context")).agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"))
+        x = cells.join(F.broadcast(contexts) if o < 2 else contexts, F.shiftright("cell", WIDTH) == F.col("context"))
+        if p is None:
+            x = x.withColumns({"p0": F.lit(1 / 256), "p1": F.lit(1 / 256)})
+        else:
+            x = x.withColumn("low", F.col("cell").bitwiseAND(last)).join(F.broadcast(p) if o < 2 else p, "low")  # fewer than 300 rows up to order 1
+        smooth = lambda k: ((F.col(f"n{k}") + PULL * F.col(f"p{k}")) / (F.col(f"c{k}") + PULL)).alias(f"p{k}")
+        p = x.select(F.col("cell").alias("low"), smooth(0), smooth(1))
+    f = F.round((F.log("p1") - F.log("p0")) * float(1 << FRACTION)).cast("long")
+    return cut(p.select(F.col("low").alias("gram"), f.alias("f")).join(seen.select("gram", "n"), "gram").select("gram", "n", "f"), "weights")
+
+
+def score(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """id, ratio: the mean of f over the grams of each id of rows (id, gram). Sums are of integers, so their order does not matter."""
+    n, total = table.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()  # one row
+    f = table.select("gram", "f")
+    if n <= MOST_SHARED:
+        x = rows.join(F.broadcast(f), "gram")
+    else:
+        hot = table.where(F.col("n") > max(1, total // HOT)).select("gram", "f")  # fewer than HOT rows
+        x = rows.join(F.broadcast(hot), "gram").select("id", "f").unionByName(rows.join(F.broadcast(hot.select("gram")), "gram", "left_anti").join(f, "gram").select("id", "f"))
+    return x.groupBy("id").agg((F.sum("f") / F.count("*") / float(1 << FRACTION)).alias("ratio"))
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -131,17 +120,21 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], held_out: i
 
     The models count every URL that a rule decides, save one in `held_out` (by hash of its text), which
     calibrate the threshold. A null URL or one without `://` has an empty host and path and fits no rule; an
-    empty text has ratio 0. Where a class has no examples the threshold is 0 and both models fall back to
+    empty text has ratio 0. Counts are kept by whole grams in tables of any size. Where a class has no examples the threshold is 0 and both models fall back to
     what they have. Repeated rows are judged alike; an empty table gives an empty result. Columns other than
     page_id and url are left out.
     """
-    spark = pages.sparkSession
     host, path = split_url(F.col("url"))
     base = apply_rules(pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url")).withColumns({"host": host, "path": path}), rules)
-    base = cut(base.withColumn("text", F.concat("host", "path")), "urls")
-    fold = F.pmod(F.xxhash64("text"), F.lit(held_out)) == 0
-    ruled = base.where("rule_verdict is not null").withColumns({"accepted": F.col("rule_verdict") == "allow", "fold": fold})
-    table = train(ruled.where("not fold"))
-    limit = calibrate(score(ruled.where("fold").select("text", "accepted"), table))
+    base = cut(base.drop("url").withColumn("id", F.monotonically_increasing_id()), "urls")
+    text = F.concat("host", "path")
+    fold = F.pmod(F.xxhash64(text), F.lit(held_out)) == 0
+    counted = F.col("rule_verdict").isNotNull() & ~fold
+    kind = F.when(counted, (F.col("rule_verdict") == "allow").cast("int")).otherwise(2)
+    grams = cut(url_grams(base.select("id", kind.alias("kind"), text.alias("text"))), "url-grams")
+    rows = grams.select("id", "kind", F.explode("grams").alias("gram"))
+    ratio = cut(score(rows.select("id", "gram"), weights(rows.select("kind", "gram"))), "ratios")
+    scored = base.join(ratio, "id", "left").withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
+    limit = calibrate(scored.where(F.col("rule_verdict").isNotNull() & fold).select("ratio", (F.col("rule_verdict") == "allow").alias("accepted")))
     verdict = F.coalesce("rule_verdict", F.when(F.col("ratio") >= limit, "allow").otherwise("block"))
-    return score(base, table).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "ratio")
+    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "ratio")

@@ -222,6 +222,35 @@ def test_urls(spark):
     assert sum(v[i] == ("block" if i % 2 else "allow") for i, _ in many) > 380
 
 
+def test_url_models_brute_force(spark, monkeypatch):
+    r = random.Random(8)
+    say = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k))
+    text = {i: f"{say(12)}.{r.choice(['net', 'org', 'com'])}/{r.choice(['fr', 'x'])}/{say(60)}é" for i in range(400)}
+    text |= {400: "", 401: text[3], 402: "a" * 300}
+    kind = {i: i % 3 for i in text}
+    n, c = collections.Counter(), collections.Counter()
+    raw = {i: [0] * 5 + [x + 1 for x in t.encode()] for i, t in text.items()}
+    for i, t in raw.items():
+        for j in range(5, len(t)):
+            for o in range(6):
+                c[kind[i], tuple(t[j - o : j])] += 1
+                n[kind[i], tuple(t[j - o : j + 1])] += 1
+
+    def p(k, t, j):
+        q = 1 / 256
+        for o in range(6):
+            q = (n[k, tuple(t[j - o : j + 1])] + 4 * q) / (c[k, tuple(t[j - o : j])] + 4)
+        return q
+
+    want = {i: sum(np.log(p(1, t, j) / p(0, t, j)) for j in range(5, len(t))) / (len(t) - 5) for i, t in raw.items() if len(t) > 5}
+    df = spark.createDataFrame([(i, kind[i], t) for i, t in text.items()], "id long, kind int, text string").repartition(3)
+    rows = urls.url_grams(df).selectExpr("id", "kind", "explode(grams) gram")
+    for most in (urls.MOST_SHARED, 0):  # broadcast and dealt by gram
+        monkeypatch.setattr(urls, "MOST_SHARED", most)
+        got = {x.id: x.ratio for x in urls.score(rows.select("id", "gram"), urls.weights(rows.select("kind", "gram"))).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-8 for i in want)
+
+
 def test_quality(spark, none):
     df = spark.createDataFrame([(1, "a b c a b c\n\nx\nx", "s"), (2, None, None), (3, " ".join(f"w{i}" for i in range(60)) + " #", "s"), (4, "", "s")], "doc_id long, text string, source string")
     got = {r.doc_id: tuple(r)[1:8] for r in quality.judge(df).collect()}
