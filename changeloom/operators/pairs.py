@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.functions import text as T
+from changeloom.sources.tables import settle
 
+PART = 64
 MOST_CELLS = 4_000_000  # beyond it the middle of a diff is a removed and an added block
 
 
@@ -24,13 +26,33 @@ def nontrivial_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return explode_lines(df, key, text).select(key, "line_no", T.norm_line(F.col("line")).alias("norm")).where(T.is_nontrivial(F.col("norm")))
 
 
-def version_pairs(df: DataFrame, key: str, text: str, least: int = 3, rarest: int = 20) -> DataFrame:
-    """a < b, shared: texts with `least` or more different meaningful lines in common, of lines that at most `rarest` texts have."""
-    one = nontrivial_lines(df, key, text).select(key, "norm").distinct()
-    rare = one.groupBy("norm").agg(F.count("*").alias("n")).where(F.col("n").between(2, rarest)).select("norm")
-    held = one.join(rare, "norm")
-    a, b = held.select("norm", F.col(key).alias("a")), held.select("norm", F.col(key).alias("b"))
-    return a.join(b, "norm").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+def version_pairs(df: DataFrame, key: str, text: str, least: int = 3, rarest: int | None = None) -> DataFrame:
+    """a < b, shared: texts with `least` or more different meaningful lines in common; with `rarest`, only lines count that at most so many texts have.
+
+    Texts with equal line sets are one class. Two classes that share `least` lines share one even without the `least` - 1
+    commonest of each, so only classes that meet in the rest are compared. Their pairs are pairs of all their members.
+    """
+    one = nontrivial_lines(df, key, text).select(F.col(key).alias("k"), "norm").where("k is not null").distinct()
+    lines = one.groupBy("norm").agg(F.count("*").alias("n")).where("n > 1" if rarest is None else F.col("n").between(2, rarest))
+    lines = settle(lines.withColumn("id", F.monotonically_increasing_id()), "lines")
+    s = F.sort_array(F.collect_list(F.struct("n", "id")))
+    sets = one.join(lines, "norm").groupBy("k").agg(F.transform(s, lambda x: x["id"]).alias("s")).where(F.size("s") >= least)
+    sets = settle(sets, "sets")
+    classes = settle(sets.groupBy("s").agg(F.min("k").alias("rep"), F.count("*").alias("c")), "classes")
+    member = settle(sets.join(classes, "s").select("k", "rep", "c"), "members")
+
+    first = classes.select("rep", F.explode(F.slice("s", F.lit(1), F.size("s") - (least - 1))).alias("id"))
+    met = first.select("id", F.col("rep").alias("x")).join(first.select("id", F.col("rep").alias("y")), "id").where("x < y").select("x", "y").distinct()
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("s").alias(f"s{x}"))
+    shared = met.join(side("x"), "x").join(side("y"), "y").select("x", "y", F.size(F.array_intersect("sx", "sy")).cast("long").alias("shared")).where(F.col("shared") >= least)
+    shared = shared.unionByName(classes.where("c > 1").select(F.col("rep").alias("x"), F.col("rep").alias("y"), F.size("s").cast("long").alias("shared")))
+    # large classes are cut into parts of some PART members, each of which meets all members of the other side
+    parts = F.ceil(F.col("c") / PART)
+    left = member.select(F.col("rep").alias("x"), F.col("k").alias("p"), F.pmod(F.xxhash64("k"), parts).alias("part"))
+    right = member.select(F.col("rep").alias("y"), F.col("k").alias("q"))
+    split = shared.join(classes.select(F.col("rep").alias("x"), parts.alias("parts")), "x").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    both = split.join(left, ["x", "part"]).join(right, "y").where((F.col("x") != F.col("y")) | (F.col("p") < F.col("q")))
+    return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "shared")
 
 
 def _counted(df: DataFrame, pairs: DataFrame, key: str, text: str, unit) -> DataFrame:

@@ -11,6 +11,7 @@ from changeloom.operators import events as E
 from changeloom.operators import graph, mentions, pairs
 from changeloom.sources.tables import read, settle
 
+RAREST = 20  # of the SQL of the pair queries, which counts only lines of 2 to 20 texts; the operator's default counts all
 NAMES = ["Apache", "License", "Licensed", "Version", "Stack", "password", "All", "rights"]
 
 
@@ -19,7 +20,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return settle(pairs.version_pairs(_docs(spark, d), "doc_id", "text"), "pairs")
+    return settle(pairs.version_pairs(_docs(spark, d), "doc_id", "text", rarest=RAREST), "pairs")
 
 
 def line_explode(spark, d):
@@ -31,7 +32,7 @@ def nontrivial_lines(spark, d):
 
 
 def version_pairs(spark, d):
-    return pairs.version_pairs(_docs(spark, d), "doc_id", "text")
+    return pairs.version_pairs(_docs(spark, d), "doc_id", "text", rarest=RAREST)
 
 
 def line_multiset_diff(spark, d):

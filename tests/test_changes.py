@@ -51,6 +51,17 @@ def test_review_stats(spark):
     assert rows(pairs.review_stats(pairs.line_diff(df, spark.createDataFrame([(1, 1)], "a long, b long"), "k", "t"))) == []
 
 
+def test_version_pairs_of_common_lines(spark):
+    r = random.Random(4)
+    text = {i: [f"line {r.randrange(12)}" for _ in range(r.randrange(2, 9))] for i in range(40)}
+    text |= {100 + i: ["same one", "same two", "same three", "line 1"] for i in range(70)}
+    text |= {200 + i: ["same one", "same two", "same three", f"own {i}", "license"] for i in range(25)}
+    text |= {300 + i: ["license", f"else {i}"] for i in range(30)}
+    want = [(a, b, n) for a in text for b in text if a < b and (n := len(set(text[a]) & set(text[b]))) >= 3]
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in text.items()], "k long, t string").repartition(3)
+    assert len(want) > 4000 and rows(pairs.version_pairs(df, "k", "t"), "a", "b", "shared") == sorted(want)
+
+
 def test_requirement_and_quotes(spark):
     t = ["yes do it", "please fix the bug", "<system-reminder>x</system-reminder> make it run fast", "<cmd> a b c d", "w " * 1000]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in t], "t string").select(T.requirement(F.col("t"))).collect()]
