@@ -6,6 +6,8 @@ and the verdict of the domain is joined back to its documents.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,23 +24,24 @@ def _length_of(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def document_features(docs: DataFrame) -> DataFrame:
-    """doc_id, domain (source; null: '') and the base features of each whole text; a null text has no words."""
-    d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("domain"), F.coalesce("text", F.lit("")).alias("t"))
-    d = d.select("doc_id", "domain", "t", F.array_remove(F.split("t", r"[\x20\x09-\x0D]+"), "").alias("w"))
+def document_features(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, domain (source; null: '') and the base features of each whole text; a null text has no words. With keep, those columns of docs as the struct `row`."""
+    row = ["row"] if keep else []
+    d = docs.select(*[F.struct(*keep).alias(r) for r in row], F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("domain"), F.coalesce("text", F.lit("")).alias("t"))
+    d = d.select(*row, "doc_id", "domain", "t", F.array_remove(F.split("t", r"[\x20\x09-\x0D]+"), "").alias("w"))
     d = d.withColumn("n", F.size("w").cast("long"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     w = F.col("w")
     windows = F.when(F.col("n") >= 3, F.transform(F.sequence(F.lit(1), (F.col("n") - 2).cast("int")), lambda i: F.struct(F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2)).alias("h"), i.alias("i"))))
-    d = d.select("doc_id", "domain", "n", (F.length("t") - _length_of(F.col("t"), SYMBOLS + SPACES) + _length_of(F.col("t"), SYMBOLS)).alias("word_chars"), _length_of(F.col("t"), SYMBOLS).alias("n_symbols"), lines.alias("lines"), F.sort_array(F.coalesce(windows, F.array().cast("array<struct<h:bigint,i:int>>"))).alias("s"))
+    d = d.select(*row, "doc_id", "domain", "n", (F.length("t") - _length_of(F.col("t"), SYMBOLS + SPACES) + _length_of(F.col("t"), SYMBOLS)).alias("word_chars"), _length_of(F.col("t"), SYMBOLS).alias("n_symbols"), lines.alias("lines"), F.sort_array(F.coalesce(windows, F.array().cast("array<struct<h:bigint,i:int>>"))).alias("s"))
     s = F.col("s")
     near = lambda x, k: F.try_element_at(s, k)["h"].eqNullSafe(x["h"])
     # a window is found again if its neighbour in hash order equals it; try_element_at counts from 1 and has no element 0, so the first looks at itself below
     twice = F.filter(s, lambda x, k: near(x, k + 2) | ((k > 0) & near(x, F.greatest(k, F.lit(1)))))
-    d = d.select("doc_id", "domain", "n", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), F.sort_array(F.transform(twice, lambda x: x["i"])).alias("p"))
+    d = d.select(*row, "doc_id", "domain", "n", "word_chars", "n_symbols", (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), F.sort_array(F.transform(twice, lambda x: x["i"])).alias("p"))
     p = F.col("p")
     covered = F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.try_element_at(p, k + 2) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    d = d.select("doc_id", "domain", F.col("n").alias("n_words"), F.col("word_chars").cast("long"), F.col("n_symbols").cast("long"), F.col("n_dup_lines").cast("long"), covered.cast("long").alias("n_repeat_words"))
+    d = d.select(*row, "doc_id", "domain", F.col("n").alias("n_words"), F.col("word_chars").cast("long"), F.col("n_symbols").cast("long"), F.col("n_dup_lines").cast("long"), covered.cast("long").alias("n_repeat_words"))
     return d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
@@ -59,16 +62,17 @@ def host_verdicts(features: DataFrame) -> DataFrame:
     return hosts.withColumn("rate", rate).withColumn("rejected", (F.col("n") >= MIN_DOCS) & (F.col("rate") > REJECT_RATE))
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Features with `kept`: false if the document fails its own rules or its domain is rejected.
 
     Null or empty texts have no words and fail; a null source is the domain ''; repeated rows are judged
-    each; an empty table gives an empty result; other columns of docs are ignored, whatever their names.
+    each; an empty table gives an empty result; other columns of docs are ignored, whatever their names, but for
+    those in keep, which come back as the struct `row`.
     """
-    f = cut(document_features(docs), "features")
+    f = cut(document_features(docs, keep), "features")
     v = host_verdicts(f).select(F.col("domain").alias("d"), "rate", "rejected")
     out = f.join(v, F.col("domain") == F.col("d"), "left")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("rejected")).alias("kept"), "rate")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("rejected")).alias("kept"), "rate", *["row"] * bool(keep))
 
 
 ORACLE = r"""

@@ -1,4 +1,7 @@
-"""A training-corpus pipeline of five operators. Each stage reads what its predecessor kept."""
+"""A training-corpus pipeline of five operators. Each stage reads what its predecessor kept.
+
+Verdicts hold for rows: a null or repeated doc_id is no reason to drop or keep a row.
+"""
 
 from __future__ import annotations
 
@@ -20,15 +23,20 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither their own rules nor their domain's verdict reject."""
-    kept = quality.judge(docs).where("kept").select(F.col("doc_id").alias("d")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("d"), "left_semi").select(*COLUMNS)
+    """Rows that neither their own rules nor their domain's verdict reject; each row is judged by itself, whatever its doc_id."""
+    return quality.judge(docs, keep=COLUMNS).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each component of near duplicates (five words, 0.8); one row for each doc_id."""
-    first = jaccard.link_documents(docs, 5, 80).where("doc_id = component_id").select(F.col("doc_id").alias("d")).distinct()
-    return docs.join(first, F.col("doc_id").cast("long") == F.col("d"), "left_semi").select(*COLUMNS)
+    """One row of each component of near duplicates (five words, 0.8): that of least doc_id, a null one last, equal ones by their content.
+
+    Rows are linked by a key of their own, so rows that share a doc_id or have none are linked and kept by their texts only.
+    """
+    rows = cut(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    linked = jaccard.link_documents(rows.select(F.col("row").alias("doc_id"), "text"), 5, 80).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*COLUMNS[1:]).alias("content"), "row")
+    first = rows.select("row", order.alias("o")).join(linked, "row").groupBy("component_id").agg(F.min("o").alias("o")).select("o.row")
+    return rows.join(first, "row", "left_semi").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

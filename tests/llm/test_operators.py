@@ -286,3 +286,30 @@ def test_pipeline_stages(spark):
 
     out = cp.run(spark, sf).collect()
     assert len(cp.STAGES) == 5 and out and {r.sequence_id for r in out} and all(r.length > 0 for r in out)
+
+
+def test_pipeline_null_and_repeated_ids(spark):
+    import corpus_pipeline as cp
+
+    r = random.Random(11)
+    say = lambda k: [f"v{r.randrange(10**6)}" for _ in range(k)]
+    a, b, c, d = (say(80) for _ in range(4))
+    near = [*c[:79], "other"]
+    rows = [(1, a), (1, ["x"]), (None, b), (None, ["y"]), (None, None), (2, c), (2, c), (3, near), (4, d), (4, say(70) + d[:40]), (None, d)]
+    rows = [(i, None if t is None else " ".join(t), "en", f"s{k % 2}", 0) for k, (i, t) in enumerate(rows)]
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = lambda df: sorted(((x.doc_id, x.text) for x in df.collect()), key=str)
+    words = lambda t: (t or "").split()
+
+    good = [x for x in rows if len(words(x[1])) >= 50]
+    assert got(cp.rules(spark, frame(rows), "")) == sorted((x[:2] for x in good), key=str)
+
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words(x[1]) for x in good)]
+    to = list(range(len(good)))
+    for i in to[:]:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                to = [to[j] if x == to[i] else x for x in to]
+    first = [min((x for x, k in zip(good, to, strict=True) if k == c), key=lambda x: (x[0] is None, x[0] or 0)) for c in set(to)]
+    assert got(cp.near_duplicates(spark, frame(good), "")) == sorted((x[:2] for x in first), key=str)
+    assert sorted(str(x[0]) for x in first) == ["1", "2", "4", "4", "None"]
