@@ -45,13 +45,13 @@ def document_features(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
-def host_verdicts(features: DataFrame) -> DataFrame:
+def host_verdicts(features: DataFrame, least_docs: int = MIN_DOCS) -> DataFrame:
     """domain, n, failed, rate (shrunk), rejected.
 
     The prior is a beta fitted by moments to the raw rates of all domains: mean m and variance v over domains
     give strength m(1-m)/v - 1, kept within 2 and 1000 (1000 where the rates do not vary). A domain is rejected
-    if it has at least MIN_DOCS documents and its shrunk rate exceeds REJECT_RATE: a few failures never condemn
-    a domain's clean documents.
+    if it has at least least_docs documents and its shrunk rate exceeds REJECT_RATE. With least_docs 0 the prior
+    alone decides; op10_quality_rules has MIN_DOCS, as its SQL says.
     """
     hosts = features.groupBy("domain").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
     raw = F.col("failed") / F.col("n")
@@ -59,10 +59,10 @@ def host_verdicts(features: DataFrame) -> DataFrame:
     m, v = m or 0.0, v or 0.0
     strength = min(1000.0, max(2.0, m * (1 - m) / v - 1)) if v > 0 else 1000.0
     rate = (F.col("failed") + F.lit(m * strength)) / (F.col("n") + F.lit(strength))
-    return hosts.withColumn("rate", rate).withColumn("rejected", (F.col("n") >= MIN_DOCS) & (F.col("rate") > REJECT_RATE))
+    return hosts.withColumn("rate", rate).withColumn("rejected", (F.col("n") >= least_docs) & (F.col("rate") > REJECT_RATE))
 
 
-def judge(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def judge(docs: DataFrame, keep: Sequence[str] = (), least_docs: int = MIN_DOCS) -> DataFrame:
     """Features with `kept`: false if the document fails its own rules or its domain is rejected.
 
     Null or empty texts have no words and fail; a null source is the domain ''; repeated rows are judged
@@ -70,7 +70,7 @@ def judge(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     those in keep, which come back as the struct `row`.
     """
     f = cut(document_features(docs, keep), "features")
-    v = host_verdicts(f).select(F.col("domain").alias("d"), "rate", "rejected")
+    v = host_verdicts(f, least_docs).select(F.col("domain").alias("d"), "rate", "rejected")
     out = f.join(v, F.col("domain") == F.col("d"), "left")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("rejected")).alias("kept"), "rate", *["row"] * bool(keep))
 

@@ -23,8 +23,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that neither their own rules nor their domain's verdict reject; each row is judged by itself, whatever its doc_id."""
-    return quality.judge(docs, keep=COLUMNS).where("kept").select("row.*")
+    """Rows that neither their own rules nor their domain's verdict reject; each row is judged by itself, whatever its doc_id, and small domains by the prior alone."""
+    return quality.judge(docs, keep=COLUMNS, least_docs=0).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

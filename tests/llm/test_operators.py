@@ -313,3 +313,13 @@ def test_pipeline_null_and_repeated_ids(spark):
     first = [min((x for x, k in zip(good, to, strict=True) if k == c), key=lambda x: (x[0] is None, x[0] or 0)) for c in set(to)]
     assert got(cp.near_duplicates(spark, frame(good), "")) == sorted((x[:2] for x in first), key=str)
     assert sorted(str(x[0]) for x in first) == ["1", "2", "4", "4", "None"]
+
+
+def test_pipeline_small_domains(spark):
+    import corpus_pipeline as cp
+
+    clean = lambda i: " ".join(f"v{i}{j}" for j in range(60))
+    rows = [(i, "x" if i < 18 else clean(i), "en", "small" if i < 19 else "good", 0) for i in range(49)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in cp.rules(spark, df, "").collect()) == list(range(19, 49))
+    assert 18 in {r.doc_id for r in quality.judge(df).where("kept").collect()}
