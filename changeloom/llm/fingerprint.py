@@ -1,9 +1,9 @@
 """Document fingerprints: an improbable-feature digest.
 
-Every window of 32 bytes is a candidate feature. Its Shannon entropy ranks it: the more bits it takes, the
-less likely it is to recur by chance. A window that ranks best in enough of the runs of 32 consecutive
-candidates around it is selected, and the selected windows fill a chain of Bloom filters in text order. Two
-digests are compared by the filters' bit overlap beyond chance.
+Every window of WINDOW bytes is a candidate feature, in texts of any length. Its Shannon entropy ranks it: the entropies
+of all windows of the corpus are counted, and the rarer an entropy is, the less likely is its window to recur by chance.
+A window that ranks best in enough of the runs of RUN consecutive candidates around it is selected, and the selected
+windows fill a chain of Bloom filters in text order. Two digests are compared by the filters' bit overlap beyond chance.
 """
 
 from __future__ import annotations
@@ -22,8 +22,7 @@ from pyspark.sql import types as T
 from changeloom.llm import kernel
 from changeloom.llm.shared import partitions
 
-WINDOW, RUN, POPULAR, WEAK = 32, 32, 8, 0.1
-SHORT, SHORT_WINDOW = 256, 8
+WINDOW, RUN, POPULAR, WEAK = 16, 32, 8, 0.1
 BITS, PER_FILTER, HASHES, ABOVE_CHANCE = 2048, 160, 5, 0.1
 STREAMS = 4096
 _count = np.arange(WINDOW + 2, dtype=float)
@@ -58,7 +57,7 @@ def entropies(data: np.ndarray) -> np.ndarray:
             out[t - WINDOW + 1] = total
     most = np.log2(WINDOW)
     flat = out.T.ravel()[:n].astype(float) / 65536 / WINDOW
-    return np.round((most - flat) / most * 1000).astype(np.int64)
+    return np.floor((most - flat) / most * 1000 + 0.51).astype(np.int64)  # sums of rounded terms: what lies on a half goes up
 
 
 def _slide(key: np.ndarray, width: int) -> np.ndarray:
@@ -70,39 +69,57 @@ def _slide(key: np.ndarray, width: int) -> np.ndarray:
     return key
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the selected windows of each document, in text order, each once."""
+def _long_enough(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of less than a window are filled up with zero bytes, empty ones left out of that: one window each."""
+    size = np.diff(offsets)
+    short = (size > 0) & (size < WINDOW)
+    if not short.any():
+        return data, offsets
+    return np.insert(data, np.repeat(offsets[1:][short], WINDOW - size[short]), 0), np.concatenate([[0], np.cumsum(np.where(short, WINDOW, size))])
+
+
+def entropy_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many windows of the texts have each entropy, 0 to 1000."""
+    data, offsets = _long_enough(data, offsets)
+    e = entropies(data)
+    inside = np.repeat(offsets[1:], np.diff(offsets))[: len(e)] - np.arange(len(e)) >= WINDOW
+    return np.bincount(e[inside], minlength=1001)
+
+
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """The rank of each entropy: the rarest first, of equally rare ones the higher; those below WEAK last."""
+    weak = np.arange(1001) < WEAK * 1000
+    rank = np.empty(1001, np.int64)
+    rank[np.lexsort((-np.arange(1001), counts, weak))] = np.arange(1001)
+    return rank
+
+
+def features(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the selected windows of each document, in text order, each once. `rank` is that of each entropy."""
+    data, offsets = _long_enough(data, offsets)
     n_docs, size = len(offsets) - 1, np.diff(offsets)
     up, down = kernel.powers(len(data) + 1)
     run = np.concatenate([np.zeros(1, U64), np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], dtype=U64)])
-    pick = np.zeros(0, np.int64)
-    if len(data) >= WINDOW:
-        e = entropies(data)
-        inside = np.repeat(offsets[1:], size)[: len(e)] - np.arange(len(e)) >= WINDOW
-        weak = e < WEAK * 1000
-        key = (np.where(weak, 2000, 1000 - e) << 40) | np.arange(len(e))
-        doc = np.repeat(np.arange(n_docs), size)[: len(e)]
-        usable = inside.copy()
-        popular = np.zeros(len(e), np.int64)
-        if len(e) >= RUN:
-            best = _slide(np.where(usable, key, np.int64(1) << 60), RUN)
-            whole = (doc[: len(best)] == doc[RUN - 1 : RUN - 1 + len(best)]) & usable[RUN - 1 : RUN - 1 + len(best)] & usable[: len(best)]
-            popular += np.bincount(best[whole] & ((1 << 40) - 1), minlength=len(e))
-        chosen = (popular >= POPULAR) & ~weak
-        for d in np.flatnonzero((size >= WINDOW) & (np.bincount(doc[chosen], minlength=n_docs) == 0)):  # short or even texts: the one best window
-            a, b = offsets[d], offsets[d + 1] - WINDOW + 1
-            chosen[a + int(np.argmin(key[a:b]))] = True
-        pick = np.flatnonzero(chosen)
+    e = entropies(data)
+    windows = np.maximum(size - WINDOW + 1, 0)
+    doc = np.repeat(np.arange(n_docs), windows)
+    upto = np.cumsum(windows) - windows
+    at = np.arange(len(doc)) + (offsets[:-1] - upto)[doc]  # where each window begins
+    key = (rank[e[at]] << 40) | np.arange(len(at))
+    # runs reach over both ends of a text, so that every window is in RUN of them; those of two texts do not meet
+    wide = np.full(len(at) + (RUN - 1) * (n_docs + 1), np.int64(1) << 60)
+    wide[np.arange(len(at)) + (RUN - 1) * (doc + 1)] = key
+    best = _slide(wide, RUN) if len(at) else wide[:0]
+    popular = np.bincount(best[best < 1 << 60] & ((1 << 40) - 1), minlength=len(at))
+    chosen = (popular >= POPULAR) & (e[at] >= WEAK * 1000)
+    for d in np.flatnonzero((windows > 0) & (np.bincount(doc[chosen], minlength=n_docs) == 0)):  # an even text: the one best window
+        chosen[upto[d] + int(np.argmin(key[upto[d] : upto[d] + windows[d]]))] = True
+    pick = at[chosen]
     h = kernel.mix((run[pick + WINDOW] - run[pick]) * down[pick]) if len(pick) else np.zeros(0, U64)
-    cuts = np.searchsorted(pick, offsets)
+    cuts = np.searchsorted(doc[chosen], np.arange(n_docs + 1))
     out = []
     for d in range(n_docs):
-        if 0 < size[d] < SHORT:  # too few windows to choose from: every short one is a feature
-            width = min(SHORT_WINDOW, size[d])
-            a = np.arange(offsets[d], offsets[d + 1] - width + 1)
-            own = kernel.mix((run[a + width] - run[a]) * down[a] + np.full(len(a), width, U64))
-        else:
-            own = h[cuts[d] : cuts[d + 1]]
+        own = h[cuts[d] : cuts[d + 1]]
         _, first = np.unique(own, return_index=True)
         out.append(own[np.sort(first)])
     return out
@@ -138,13 +155,30 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.clip((both - floor) / np.maximum(most - floor, 1e-9), 0, 1).max(1).mean())
 
 
-def fingerprints(texts: list[str]) -> list[np.ndarray]:
+def fingerprints(texts: list[str], rank: np.ndarray) -> list[np.ndarray]:
     out = []
     for _, _, data, off in kernel.slices(pa.array([t.encode() for t in texts], pa.large_binary())):
-        out += [digest(h) for h in features(data, off)]
+        out += [digest(h) for h in features(data, off, rank)]
     return out
 
 
+def rarity_table(docs: DataFrame) -> list[int]:
+    """`rarity` of the entropies of all windows of all texts (text): 1001 counts a task are added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1001, np.int64)
+        for b in batches:
+            for _, _, data, off in kernel.slices(b.column(0)):
+                total += entropy_counts(data, off)
+        yield pa.record_batch([pa.array(np.arange(1001)), pa.array(total)], names=["entropy", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "entropy long, n long").groupBy("entropy").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(1001, np.int64)
+    for r in rows:
+        counts[r["entropy"]] = r["n"]
+    return rarity(counts).tolist()
+
+
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -169,13 +203,15 @@ def _deal(docs: DataFrame) -> DataFrame:
     return dealt.repartitionById(n, F.col("p")).sortWithinPartitions("ghost", F.desc("id"), "text").select("ghost", "doc_id", "text")
 
 
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, rank: list[int] | None = None) -> DataFrame:
     """Fingerprints of each whole text and of its edited text, and their likeness to each other and to the next document's.
 
     The next document is the following one by descending doc_id (rows that repeat a doc_id by text), the first after the
-    last; a table of one row has itself. A null text is empty, a null doc_id comes last; an empty text has an empty chain;
-    in texts below 256 bytes every window of 8 bytes is a feature. An empty table gives an empty result; other columns are ignored.
+    last; a table of one row has itself. A null text is empty, a null doc_id comes last; an empty text has an empty chain.
+    An empty table gives an empty result; other columns are ignored. `rank` is a rarity table of 1001 ranks, by default that
+    of these documents; digests can be compared if they were made with the same one.
     """
+    table = np.array(rarity_table(docs) if rank is None else rank, np.int64)
 
     def done(rows: list[tuple], nxt: tuple) -> pa.RecordBatch:
         """rows: (doc_id, text, fingerprint); nxt: the row after the last of them."""
@@ -184,7 +220,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         for (_, text, _), (_, other, _) in zip(rows, after, strict=True):
             h = len(text) // 2
             edited.append(text[: len(text) - h] + other[:h])
-        prints = fingerprints(edited)
+        prints = fingerprints(edited, table)
         return pa.record_batch(
             [
                 pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int64()), pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]), pa.array([encode(r[2]) for r in rows]), pa.array([encode(p) for p in prints]),
@@ -204,7 +240,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                 while end < len(texts) and size < 1 << 20:
                     size += len(texts[end])
                     end += 1
-                for g, d, t, f in zip(ghost[at:end], ids[at:end], texts[at:end], fingerprints(texts[at:end]), strict=True):
+                for g, d, t, f in zip(ghost[at:end], ids[at:end], texts[at:end], fingerprints(texts[at:end], table), strict=True):
                     if g and ended:
                         break
                     ended |= bool(g)

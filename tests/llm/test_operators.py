@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import tempfile
 import zlib
 
 import numpy as np
@@ -161,18 +162,50 @@ def test_packing(spark, docs, none):
 def test_fingerprints(spark, docs, none):
     got = {r.doc_id: r for r in fingerprint.fingerprint_documents(docs).collect()}
     text = {d: t or "" for d, t in corpus()}
+    w, run = fingerprint.WINDOW, fingerprint.RUN
+
+    def entropy(x):
+        n = [x.count(c) / w for c in set(x)]
+        return int(-sum(p * np.log2(p) for p in n) / np.log2(w) * 1000 + 0.51)
+
+    slots = lambda b: [b[i : i + w] for i in range(len(b) - w + 1)] if len(b) >= w or not b else [b.ljust(w, b"\0")]
+    counts = collections.Counter(entropy(x) for t in text.values() for x in slots(t.encode()))
+    order = sorted(range(1001), key=lambda e: (e < 100, counts[e], -e))
+    rank = {e: i for i, e in enumerate(order)}
+
+    def chain(t):
+        own = slots(t.encode())
+        key = [(rank[entropy(x)], i) for i, x in enumerate(own)]
+        popular = collections.Counter(min(key[max(0, j - run + 1) : j + 1])[1] for j in range(len(own) + run - 1)) if own else {}
+        pick = [i for i, x in enumerate(own) if popular[i] >= fingerprint.POPULAR and entropy(x) >= 100] or ([min(key)[1]] if own else [])
+        hashes = list(dict.fromkeys(fingerprint.kernel.mix(np.array([sum((c + 1) * pow(int(fingerprint.kernel._BASE), k, 1 << 64) for k, c in enumerate(own[i])) % (1 << 64)], np.uint64)).tolist()[0] for i in pick))
+        return [{h >> 11 * j & 2047 for h in hashes[i : i + 160] for j in range(5)} for i in range(0, len(hashes), 160)]
+
+    def like(a, b):
+        a, b = sorted((a, b), key=len)
+        if a == b:
+            return 1.0
+        of = lambda x, y: len(x) * len(y) / 2048 + 0.1 * (min(len(x), len(y)) - len(x) * len(y) / 2048)
+        return float(np.mean([max(min(1, max(0, (len(x & y) - of(x, y)) / max(min(len(x), len(y)) - of(x, y), 1e-9))) for y in b) for x in a])) if a else 0.0
+
     ids = sorted(text, reverse=True)
     for i, d in enumerate(ids):
         a, b = text[d], text[ids[(i + 1) % len(ids)]]
         h = len(a) // 2
-        assert got[d].edited_sha256 == hashlib.sha256((a[: len(a) - h] + b[:h]).encode()).hexdigest()
-        assert got[d].fingerprint == fingerprint.encode(fingerprint.fingerprints([a])[0])
-    data = np.frombuffer(text[ids[0]].encode(), np.uint8)
-    e = fingerprint.entropies(data)
-    for i in (0, 1, 700, len(e) - 1):
-        c = np.bincount(data[i : i + fingerprint.WINDOW])
-        c = c[c > 0] / fingerprint.WINDOW
-        assert abs(e[i] - 1000 * -(c * np.log2(c)).sum() / np.log2(fingerprint.WINDOW)) < 1.5
+        edited = a[: len(a) - h] + b[:h]
+        assert got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[d].n_chars == len(a)
+        prints = [chain(x) for x in (a, edited, b)]
+        for p, shown in zip(prints, (got[d].fingerprint, got[d].edited_fingerprint), strict=False):
+            n, _, body = shown.partition(":")
+            bits = np.unpackbits(np.frombuffer(base64.b64decode(body), np.uint8)).reshape(int(n), 2048)
+            assert [set(np.flatnonzero(x).tolist()) for x in bits] == p
+        assert abs(got[d].near_edited - like(prints[0], prints[1])) < 1e-9 and abs(got[d].near_next - like(prints[0], prints[2])) < 1e-9
+    # no length at which a text gets features of another kind
+    long = text[ids[0]]
+    table = fingerprint.rarity_table(docs)
+    for n in (31, 32, 255, 256, 600):
+        a, b = fingerprint.fingerprints([long[:n], long[: n + 8]], np.array(table))
+        assert fingerprint.likeness(a, b) > 0.5
     assert fingerprint.fingerprint_documents(none).count() == 0
 
 
@@ -187,6 +220,22 @@ def test_warc(spark):
         again = len(b) >= 1000 and p < top
         want.append((p, len(b), hashlib.sha1(b).hexdigest(), "revisit" if again else "response", top if again else None))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    def archive(rows, to):
+        warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), to)
+        return [r for f in spark.read.format("binaryFile").load(to).collect() for r in warc.parse_archive(bytes(f.content))]
+
+    root = tempfile.mkdtemp(prefix="spark-")
+    many = [(9, "u", "y" * 3000)] * 1500 + [(9, "v", "y" * 3000)] * 3 + [(8, "w", "y" * 3000), (9, "u", "z")]
+    made = archive(many, f"{root}/many")
+    names = [r["origin"] for r in made]
+    assert len(set(names)) == len(made) == len(many) and all(r["refers_to"] in names for r in made if r["type"] == "revisit") and sum(r["type"] == "revisit" for r in made) == 1
+    assert warc.read_archives(spark, f"{root}/many").count() == len(many)
+    lone = warc._record([("WARC-Type", "revisit"), ("WARC-Record-ID", warc.ID % (1, "a" * 40, 0)), ("WARC-Refers-To", warc.ID % (2, "a" * 40, 0))], b"") + b"\r\n\r\n"
+    os.mkdir(f"{root}/lone")
+    with open(f"{root}/lone/a", "wb") as f:
+        f.write(lone)
+    with pytest.raises(Exception, match="not there"):
+        warc.read_archives(spark, f"{root}/lone").collect()
     d, raw = warc.Dechunker(), warc.chunked(b"abc" * 5000, 700)
     assert b"".join(d.feed(raw[i : i + 11]) for i in range(0, len(raw), 11)) == b"abc" * 5000 and d.done
 
