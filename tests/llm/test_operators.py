@@ -364,11 +364,31 @@ def test_pipeline_null_and_repeated_ids(spark):
     assert sorted(str(x[0]) for x in first) == ["1", "2", "4", "4", "None"]
 
 
+def test_host_verdicts(spark):
+    """Domains of which most documents fail a rule are rejected, whatever their size, and SQL says the same."""
+    import duckdb
+
+    clean = lambda i: " ".join(f"v{i}{j}" for j in range(60))
+    rows = []
+    for d, (n, bad, kind) in {"a": (40, 2, "short"), "b": (300, 12, "short"), "c": (25, 24, "short"), "d": (7, 7, "short"), "e": (1, 1, "short"), "f": (60, 3, "short"), "g": (30, 28, "lines"), "h": (30, 27, "symbols"), "i": (90, 4, "short")}.items():
+        for i in range(n):
+            t = clean(i)
+            if i < bad:
+                t = {"short": "x", "lines": t + "\nsame" * 9, "symbols": t + " " + "#" * 90}[kind]
+            rows.append((len(rows), t, d))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.judge(df).collect()}
+    gone = {s for d, t, s in rows if not got[d][0] and not got[d][1]}
+    assert gone == {"c", "g", "h"} and all(not got[d][1] for d, _, s in rows if s in "cdgh")
+    documents = df.toPandas()  # noqa: F841
+    want = {r[0]: r[6:8] for r in duckdb.sql(quality.ORACLE).fetchall()}
+    assert {d: tuple(v) for d, v in got.items()} == want
+
+
 def test_pipeline_small_domains(spark):
     import corpus_pipeline as cp
 
     clean = lambda i: " ".join(f"v{i}{j}" for j in range(60))
-    rows = [(i, "x" if i < 18 else clean(i), "en", "small" if i < 19 else "good", 0) for i in range(49)]
+    rows = [(i, "x" if i < 18 else clean(i), "en", "small" if i < 19 else f"good{i % 3}", 0) for i in range(49)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in cp.rules(spark, df, "").collect()) == list(range(19, 49))
-    assert 18 in {r.doc_id for r in quality.judge(df).where("kept").collect()}
