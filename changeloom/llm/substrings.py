@@ -2,9 +2,10 @@
 
 Each window of `span` words has an anchor, its least hash of `GRAM` words, which equal windows share. The windows of
 one anchor at one place, with their words, are a passage; passages of an anchor that occurs once cannot repeat and
-never travel. Equal passages are counted as one. The different passages of one anchor are a reference shard: a
+never travel. Equal passages are one kind, with their number as weight. The kinds of one anchor are a reference shard: a
 suffix automaton of them, with the number of places of each state, is built in the task that owns the shard, and
-the passages are streamed through it for the longest match with a second place at each word.
+the kinds are streamed through it for the longest match with a second place at each word. What it finds holds for
+every passage of a kind. A shard of more than MANY kinds is dealt out by window.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from changeloom.llm import kernel
 from changeloom.llm.shared import cut, partitions
 
-GRAM, MANY, FEW = 12, 64, 500_000
+GRAM, MANY = 12, 512
 U64 = np.uint64
 
 
@@ -130,97 +131,82 @@ def _runs(starts: list[int]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _with(rows: DataFrame, more: DataFrame, outer: bool) -> DataFrame:
-    """rows joined with the columns of more by key (in `of`). Up to FEW keys (a long each) are broadcast, so that only rows that have a partner are dealt by key; beyond that all are."""
-    keys = more.select("of")
-    if keys.limit(FEW + 1).count() > FEW:
-        return rows.join(more, F.col("key") == F.col("of"), "left" if outer else "inner").drop("of")
-    keys = F.broadcast(keys)
-    some = rows.join(keys, F.col("key") == F.col("of"), "left_semi").join(more.hint("merge"), F.col("key") == F.col("of")).drop("of")
-    if not outer:
-        return some
-    rest = rows.join(keys, F.col("key") == F.col("of"), "left_anti")
-    return some.unionByName(rest.withColumns({c: F.lit(None).cast(more.schema[c].dataType) for c in more.columns if c != "of"}))
-
-
 def repeated_spans(rows: DataFrame, span: int) -> DataFrame:
-    """key, spans (array of from, to in words) of the texts (key, text) that hold windows with a second place anywhere."""
+    """id, th, spans (array of from, to in words) of the texts (id, th, text) that hold windows with a second place anywhere."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key = b.column(0).to_numpy()
-            for i, j, data, off in kernel.slices(b.column(1)):
+            keys = [c.to_numpy() for c in b.columns[:2]]
+            for i, j, data, off in kernel.slices(b.column(2)):
                 w = kernel.Words(data, off)
                 got = [passages(w.hash[a:e], span) for a, e in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
                 cols = [np.concatenate(c) for c in zip(*got, strict=True)]
-                keys = np.repeat(key[i:j], [len(g[0]) for g in got])
-                yield pa.record_batch([pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), pa.array(keys), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], names=["anchor", "ctx", "key", "a", "n"])
+                own = [np.repeat(k[i:j], [len(g[0]) for g in got]) for k in keys]
+                yield pa.record_batch([pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), *map(pa.array, own), pa.array(cols[2].astype(np.int32)), pa.array(cols[3].astype(np.int32))], names=["anchor", "ctx", "id", "th", "a", "n"])
 
-    every = cut(rows.mapInArrow(find, "anchor long, ctx long, key long, a int, n int"), "passages")
+    every = cut(rows.mapInArrow(find, "anchor long, ctx long, id long, th long, a int, n int"), "passages")
     twice = cut(every.groupBy(F.col("anchor").alias("again")).count().where("count > 1").select("again"), "twice")  # a table, so that the join below can split a hot anchor
     found = cut(every.join(twice, F.col("anchor") == F.col("again"), "left_semi"), "found")
-    kinds = cut(found.groupBy("anchor", "ctx").agg(F.count("*").alias("w"), F.min(F.struct("key", "a", "n")).alias("at")), "kinds")
-    # equal passages: every window of them has another place
-    same = found.join(kinds.where("w > 1").select("anchor", "ctx"), ["anchor", "ctx"], "left_semi").select("key", F.col("a").alias("s"), (F.col("a") + F.col("n")).alias("e"))
-    # anchors with different passages, of which some stand alone
-    shards = kinds.groupBy(F.col("anchor").alias("shard")).agg(F.count("*").alias("m"), F.min("w").alias("least")).where("m > 1 and least = 1").select("shard", "m")
-    ask = kinds.join(shards, F.col("anchor") == F.col("shard")).select("anchor", "w", "at.*", (F.col("m") > MANY).alias("hot"))
-    ask = cut(ask.groupBy(F.col("key").alias("of")).agg(F.collect_list(F.struct("anchor", F.least("w", F.lit(2)).cast("int").alias("w"), "a", "n", "hot")).alias("asked")), "asked")
-    texts = _with(rows, ask, outer=False).select("key", "text", "asked.anchor", "asked.w", "asked.a", "asked.n", "asked.hot")
+    kinds = cut(found.groupBy("anchor", "ctx").agg(F.count("*").alias("w"), F.min(F.struct("id", "th", "a", "n")).alias("at")), "kinds")
+    many = cut(kinds.groupBy(F.col("anchor").alias("shard")).count().where(F.col("count") > MANY).select("shard"), "many")
+    ask = kinds.join(many, F.col("anchor") == F.col("shard"), "left").select("anchor", "ctx", F.least("w", F.lit(2)).cast("int").alias("w"), "at.*", F.col("shard").isNotNull().alias("hot"))
+    ask = cut(ask.groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "ctx", "w", "a", "n", "hot")).alias("asked")), "asked")
+    texts = rows.join(ask.withColumnsRenamed({"id": "i", "th": "t"}), (F.col("id") == F.col("i")) & (F.col("th") == F.col("t"))).dropDuplicates(["id", "th"]).select("text", *[f"asked.{c}" for c in ("anchor", "ctx", "w", "a", "n", "hot")])
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, asked = b.column(0).to_pylist(), [b.column(c) for c in range(2, 7)]
-            for i, j, data, off in kernel.slices(b.column(1)):
+            asked = b.columns[1:]
+            for i, j, data, off in kernel.slices(b.column(0)):
                 words = kernel.Words(data, off)
                 out, flat = [], []
                 for d in range(i, j):
                     own = words.hash[words.first[d - i] : words.first[d - i + 1]]
                     whole = kernel.grams(own, span).view(np.int64)
-                    for anchor, w, a, n, hot in zip(*(c[d].as_py() for c in asked), strict=True):
+                    for anchor, ctx, w, a, n, hot in zip(*(c[d].as_py() for c in asked), strict=True):
                         if hot:  # one row a window, which any number of tasks can count
-                            out += [(h, w, key[d], a + x) for x, h in enumerate(whole[a : a + n].tolist())]
+                            out += [(anchor, ctx, w, x, h) for x, h in enumerate(whole[a : a + n].tolist())]
                             flat += [np.zeros(0, np.int64)] * n
                         else:
-                            out.append((anchor, w, key[d], a))
+                            out.append((anchor, ctx, w, 0, 0))
                             flat.append(own[a : a + n + span - 1].view(np.int64))
                 if out:
-                    cols = list(zip(*out, strict=True))
-                    yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), kernel.ragged(np.concatenate(flat), np.array([len(x) for x in flat]), pa.int64())], names=["anchor", "w", "key", "a", "words"])
+                    cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
+                    yield pa.record_batch([*cols, kernel.ragged(np.concatenate(flat), np.array([len(x) for x in flat]), pa.int64())], names=["anchor", "ctx", "w", "x", "window", "words"])
 
-    pieces = cut(texts.mapInArrow(cut_out, "anchor long, w int, key long, a int, words array<long>"), "pieces")
+    pieces = cut(texts.mapInArrow(cut_out, "anchor long, ctx long, w int, x int, window long, words array<long>"), "pieces")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Shard by shard; a shard has at most MANY passages of at most 2 * span words."""
+        """Shard by shard; a shard has at most MANY kinds of at most 2 * span words."""
         shard: list[tuple] = []
 
         def flush() -> list[tuple]:
-            got = repeated_windows([s[3] for s in shard], [s[1] for s in shard], span)
-            res = [(key, a + x, a + y) for (_, w, key, _, a), starts in zip(shard, got, strict=True) if w == 1 for x, y in _runs(starts)]
+            got = repeated_windows([s[3] for s in shard], [s[2] for s in shard], span)
+            res = [(anchor, ctx, [x for x, _ in runs], [y for _, y in runs]) for (anchor, ctx, _, _), starts in zip(shard, got, strict=True) if (runs := _runs(starts))]
             shard.clear()
             return res
 
         for b in batches:
             out: list[tuple] = []
-            for anchor, w, key, a, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if shard and shard[0][0] != anchor:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if shard and shard[0][0] != row[0]:
                     out += flush()
-                shard.append((anchor, w, key, words, a))
+                shard.append(row)
             yield rows_of(out)
         if shard:
             yield rows_of(flush())
 
     def rows_of(out: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32())], names=["key", "s", "e"])
+        cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], names=["anchor", "ctx", "s", "e"])
 
-    cold = pieces.where("size(words) > 0").repartition(partitions(rows.sparkSession), "anchor").sortWithinPartitions("anchor", "key", "a").select("anchor", "w", "key", "a", "words")
-    cold = cold.mapInArrow(stream, "key long, s int, e int")
+    cold = pieces.where("size(words) > 0").repartition(partitions(rows.sparkSession), "anchor").sortWithinPartitions("anchor", "ctx").select("anchor", "ctx", "w", "words")
+    cold = cold.mapInArrow(stream, "anchor long, ctx long, s array<int>, e array<int>")
     hot = pieces.where("size(words) = 0").drop("words")
-    often = hot.groupBy(F.col("anchor").alias("again")).agg(F.sum("w").alias("t")).where("t > 1").select("again")
-    hot = hot.where("w = 1").join(often, F.col("anchor") == F.col("again"), "left_semi").select("key", F.col("a").alias("s"), (F.col("a") + 1).alias("e"))
-    spans = same.unionByName(cold).unionByName(hot)
-    return cut(spans.groupBy("key").agg(F.collect_list(F.struct("s", (F.col("e") + span - 1).alias("e"))).alias("spans")), "spans")
+    often = hot.groupBy(F.col("window").alias("again")).agg(F.sum("w").alias("t")).where("t > 1").select("again")
+    hot = hot.join(often, F.col("window") == F.col("again"), "left_semi").groupBy("anchor", "ctx").agg(F.array_sort(F.collect_list("x")).alias("s"))
+    repeats = cut(cold.unionByName(hot.select("anchor", "ctx", "s", F.transform("s", lambda x: x + 1).alias("e"))), "repeats")
+    spans = found.join(repeats, ["anchor", "ctx"]).select("id", "th", F.transform(F.arrays_zip("s", "e"), lambda r: F.struct((r["s"] + F.col("a")).alias("s"), (r["e"] + F.col("a") + span - 1).alias("e"))).alias("spans"))
+    return cut(spans.groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
 
 
 def remove_repeats(docs: DataFrame, span: int = 35, with_text: bool = False, keep: list[str] | None = None) -> DataFrame:
@@ -233,9 +219,9 @@ def remove_repeats(docs: DataFrame, span: int = 35, with_text: bool = False, kee
     """
     keep = keep or []
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
-    base = base.withColumn("key", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(base.select("key", "text"), span)
-    joined = _with(base, spans.withColumnRenamed("key", "of"), outer=True)
+    base = base.withColumns({"id": F.coalesce("doc_id", F.lit(0)), "th": F.xxhash64("doc_id", "text")})  # equal rows have equal spans
+    spans = repeated_spans(base.select("id", "th", "text"), span)
+    joined = base.join(spans.withColumnsRenamed({"id": "i", "th": "t"}), (F.col("id") == F.col("i")) & (F.col("th") == F.col("t")), "left")
     joined = joined.select("doc_id", "text", F.col("spans.s").alias("s"), F.col("spans.e").alias("e"), *[f"keep_{i}" for i in range(len(keep))])
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
 
