@@ -34,9 +34,14 @@ def _flat(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
 
 
+def stripped_quote(quote: Column) -> Column:
+    """Without the quote marks, dots and white space around it."""
+    return F.regexp_replace(quote, r"(?U)^[\"'…\s]+|[\"'…\s]+$", "")
+
+
 def quote_in(quote: Column, text: Column) -> Column:
     """Is the quote, of three bytes or more, in the text but for case and white space?"""
-    q = _flat(F.regexp_replace(quote, r"(?U)^[\"'…\s]+|[\"'…\s]+$", ""))
+    q = _flat(stripped_quote(quote))
     return (F.octet_length(q) >= 3) & F.contains(_flat(text), q)
 
 

@@ -26,14 +26,16 @@ def nontrivial_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return explode_lines(df, key, text).select(key, "line_no", T.norm_line(F.col("line")).alias("norm")).where(T.is_nontrivial(F.col("norm")))
 
 
-def version_pairs(df: DataFrame, key: str, text: str, least: int = 3, rarest: int | None = None) -> DataFrame:
-    """a < b, shared: texts with `least` or more different meaningful lines in common; with `rarest`, only lines count that at most so many texts have.
+def version_pairs(df: DataFrame, key: str, text: str, least: int = 3) -> DataFrame:
+    """a < b, shared: texts with `least` or more different meaningful lines in common, however many texts hold them.
 
+    Null keys are left out, null texts have no lines; rows that repeat a key are one text. The output grows with the square of
+    a family's size, since its pairs are what is asked for.
     Texts with equal line sets are one class. Two classes that share `least` lines share one even without the `least` - 1
     commonest of each, so only classes that meet in the rest are compared. Their pairs are pairs of all their members.
     """
     one = nontrivial_lines(df, key, text).select(F.col(key).alias("k"), "norm").where("k is not null").distinct()
-    lines = one.groupBy("norm").agg(F.count("*").alias("n")).where("n > 1" if rarest is None else F.col("n").between(2, rarest))
+    lines = one.groupBy("norm").agg(F.count("*").alias("n")).where("n > 1")
     lines = settle(lines.withColumn("id", F.monotonically_increasing_id()), "lines")
     s = F.sort_array(F.collect_list(F.struct("n", "id")))
     sets = one.join(lines, "norm").groupBy("k").agg(F.transform(s, lambda x: x["id"]).alias("s")).where(F.size("s") >= least)
@@ -77,8 +79,8 @@ def token_dice(df: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFram
 
 
 def exact_moves(df: DataFrame, key: str, text: str, place: str) -> DataFrame:
-    """key, origin, place, origin_place: texts equal but for white space to the first of their kind, which lies in another place."""
-    norm = df.select(F.col(key), F.col(place).alias("place"), F.sha2(T.norm_line(F.coalesce(F.col(text), F.lit(""))), 256).alias("h"))
+    """key, origin, place, origin_place: texts equal but for white space to the first of their kind, which lies in another place. Null and blank texts move nowhere."""
+    norm = df.select(F.col(key), F.col(place).alias("place"), T.norm_line(F.coalesce(F.col(text), F.lit(""))).alias("norm")).where("norm <> ''").select(key, "place", F.sha2("norm", 256).alias("h"))
     first = norm.groupBy("h").agg(F.min(F.struct(key, "place")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h", F.col(f"f.{key}").alias("origin"), F.col("f.place").alias("origin_place"))
     return norm.join(first, "h").where("place <> origin_place").select(key, "origin", "place", "origin_place")
 
@@ -125,7 +127,11 @@ def align(old: list[str], new: list[str]) -> list[tuple[str, int, int]]:
 
 
 def line_diff(df: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
-    """a, b, seq, kind, old_no, new_no, line of each pair's aligned lines."""
+    """a, b, seq, kind, old_no, new_no, line of each pair's aligned lines, for keys (long) that stand once in df.
+
+    Between its equal ends a pair of more than MOST_CELLS line combinations is not aligned: its old lines are removed, its new
+    ones added, as the interactive tool does. Null texts have no lines; a pair of two empty texts gives no rows.
+    """
     t = df.select(F.col(key), T.lines(F.col(text)).alias("l"))
     both = pairs.select("a", "b").join(t.select(F.col(key).alias("a"), F.col("l").alias("x")), "a").join(t.select(F.col(key).alias("b"), F.col("l").alias("y")), "b").select("a", "b", "x", "y")
 

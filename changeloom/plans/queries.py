@@ -11,7 +11,6 @@ from changeloom.operators import events as E
 from changeloom.operators import graph, mentions, pairs
 from changeloom.sources.tables import read, settle
 
-RAREST = 20  # of the SQL of the pair queries, which counts only lines of 2 to 20 texts; the operator's default counts all
 NAMES = ["Apache", "License", "Licensed", "Version", "Stack", "password", "All", "rights"]
 
 
@@ -20,7 +19,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return settle(pairs.version_pairs(_docs(spark, d), "doc_id", "text", rarest=RAREST), "pairs")
+    return settle(pairs.version_pairs(_docs(spark, d), "doc_id", "text"), "pairs")
 
 
 def line_explode(spark, d):
@@ -32,7 +31,7 @@ def nontrivial_lines(spark, d):
 
 
 def version_pairs(spark, d):
-    return pairs.version_pairs(_docs(spark, d), "doc_id", "text", rarest=RAREST)
+    return pairs.version_pairs(_docs(spark, d), "doc_id", "text")
 
 
 def line_multiset_diff(spark, d):
@@ -160,8 +159,7 @@ n AS (SELECT doc_id, line_no, regexp_replace(line, '\s+', '', 'g') AS norm FROM
 norms AS (SELECT * FROM n WHERE octet_length(encode(norm)) >= 4 AND regexp_matches(norm, '[\p{L}\p{N}]') AND norm NOT IN ('else{', '}else{', 'return;', 'break;', 'pass', 'continue;', '});', 'end'))"""
 PAIRS = NORM + """,
 one AS (SELECT DISTINCT doc_id, norm FROM norms),
-held AS (SELECT * FROM one WHERE norm IN (SELECT norm FROM one GROUP BY norm HAVING count(*) BETWEEN 2 AND 20)),
-pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM held x JOIN held y USING (norm) WHERE x.doc_id < y.doc_id GROUP BY ALL HAVING count(*) >= 3)"""
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM one x JOIN one y USING (norm) WHERE x.doc_id < y.doc_id GROUP BY ALL HAVING count(*) >= 3)"""
 MULTI = PAIRS + """,
 per AS (SELECT doc_id, line, count(*) AS n FROM lines GROUP BY ALL),
 c AS (SELECT a, b, line, sum(x) AS x, sum(y) AS y FROM (SELECT a, b, line, n AS x, 0 AS y FROM pairs JOIN per ON a = doc_id UNION ALL SELECT a, b, line, 0, n FROM pairs JOIN per ON b = doc_id) GROUP BY ALL),
@@ -177,7 +175,7 @@ ORACLE = {
     "token_dice": rf"""WITH {PAIRS}, w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS unit FROM documents), per AS (SELECT doc_id, unit, count(*) AS n FROM w GROUP BY ALL),
 c AS (SELECT a, b, unit, sum(x) AS x, sum(y) AS y FROM (SELECT a, b, unit, n AS x, 0 AS y FROM pairs JOIN per ON a = doc_id UNION ALL SELECT a, b, unit, 0, n FROM pairs JOIN per ON b = doc_id) GROUP BY ALL)
 SELECT a, b, CAST(2 * sum(least(x, y)) AS BIGINT) AS common2, CAST(sum(x + y) AS BIGINT) AS total FROM c GROUP BY ALL""",
-    "exact_moves": r"""WITH n AS (SELECT doc_id, source, regexp_replace(coalesce(text, ''), '\s+', '', 'g') AS h FROM documents),
+    "exact_moves": r"""WITH n AS (SELECT doc_id, source, regexp_replace(coalesce(text, ''), '\s+', '', 'g') AS h FROM documents WHERE regexp_matches(text, '\S')),
 f AS (SELECT h, min(doc_id) AS origin FROM n GROUP BY h HAVING count(*) > 1)
 SELECT n.doc_id, f.origin, n.source AS place, o.source AS origin_place FROM n JOIN f USING (h) JOIN n o ON o.doc_id = f.origin WHERE n.source <> o.source""",
     "page_role": r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[^:]*://[^/]*/([^?#]*)', 1) AS path FROM pages), q AS (SELECT *, string_split(path, '/') AS s, regexp_extract(path, '[^/]*$') AS file FROM p)

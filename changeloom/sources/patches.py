@@ -16,7 +16,8 @@ LINES = pa.schema([("change_id", pa.string()), ("path", pa.string()), ("hunk", p
 def _hunk_lines(raw: str) -> Iterator[tuple]:
     """(hunk, kind, old_no, new_no, line) of a patch; a new file header ends a hunk, markers of a missing line end are skipped."""
     hunk, old, new, inside = 0, 0, 0, False
-    for line in raw.splitlines():
+    for line in raw.removesuffix("\n").split("\n"):
+        line = line.removesuffix("\r")
         if line.startswith("diff --"):
             inside = False
         elif m := HUNK.match(line):

@@ -41,6 +41,12 @@ def test_align_gives_new_from_old():
         d = pairs.align(a, b)
         assert [a[o - 1] for _, o, _ in d if o] == a and [b[n - 1] for _, _, n in d if n] == b
         assert all(a[o - 1] == b[n - 1] for k, o, n in d if k == "context")
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert sum(k == "context" for k, _, _ in d) == best[-1][-1]
+    assert [k for k, _, _ in pairs.align(["a", "b"], ["c", "d"])] == ["removed", "removed", "added", "added"]
 
 
 def test_review_stats(spark):
@@ -76,6 +82,19 @@ def test_mentions(spark):
     quotes = spark.createDataFrame([(1, "the quick brown fox jumps over the dog"), (2, "lazy cat")], "q long, text string")
     texts = spark.createDataFrame([(7, "so The quick\nbrown fox jumps over the dogs"), (8, "a lazy  cat"), (9, None)], "d long, text string")
     assert rows(mentions.quote_check(quotes, texts, "q", "d")) == [(1, 7), (2, 8)]
+    r = random.Random(5)
+    marks = lambda t: r.choice(["", '" ', "'", "… "]) + t + r.choice(["", '"', " '", "…"])
+    body = {i: " ".join(r.choice(["fix", "the", "bug", "now", "please", "ok", "yes", "sir"]) for _ in range(30)) for i in range(20)} | {50: None, 51: ""}
+    said = {100: '" fix the bug now please ok yes sir', 101: "ab", 102: None, 103: '"…"'}
+    for i in range(60):
+        t = body[r.randrange(20)]
+        x = r.randrange(len(t) - 40)
+        said[i] = marks(t[x : x + r.randrange(3, 40)])
+    body[60] = "prefix the bug now please ok yes sir"
+    flat = lambda t: " ".join(t.lower().split())
+    want = [(i, d) for i, a in said.items() for d, t in body.items() if a and t and len(flat(a.strip("\"'… "))) >= 3 and flat(a.strip("\"'… ")) in flat(t)]
+    df = lambda x, k: spark.createDataFrame(list(x.items()), f"{k} long, text string")
+    assert rows(mentions.quote_check(df(said, "q"), df(body, "d"), "q", "d")) == sorted(want) and (100, 60) in want
 
 
 def test_session_cut(spark):
@@ -113,6 +132,8 @@ def test_sources(spark, tmp_path):
     raw = "diff --git a/x b/x\n@@ -1,2 +1,2 @@\n a\n-b\n+c\n\\ No newline at end of file\ndiff --git a/y b/y\n+++ b/y\n"
     df = spark.createDataFrame([("1", "x", raw), ("1", "z", None)], "change_id string, path string, raw string")
     assert [(r.kind, r.old_no, r.new_no, r.line) for r in patches.parse_unified_diffs(df).collect()] == [("context", 1, 1, "a"), ("removed", 2, None, "b"), ("added", None, 2, "c")]
+    odd = spark.createDataFrame([("1", "x", "@@ -0,0 +1,2 @@\n+foo\fbar\x1c\u2028z\r\n+end")], "change_id string, path string, raw string")
+    assert [r.line for r in patches.parse_unified_diffs(odd).collect()] == ["foo\fbar\x1c\u2028z", "end"]
     for side, files in {"o": {"a.py": b"1", "s/b.py": b"2"}, "n": {"a.py": b"3", "bin": b"\x00"}}.items():
         for name, data in files.items():
             (tmp_path / side / name).parent.mkdir(parents=True, exist_ok=True)
@@ -122,7 +143,13 @@ def test_sources(spark, tmp_path):
     assert rows(patches.read_transcripts(spark, f"{tmp_path}/t.jsonl"), "ts", "role", "kind", F.coalesce("text", F.lit("-")), F.coalesce("tool", F.lit("-"))) == [("t1", "user", "text", "hello there", "-"), ("t2", "assistant", "text", "hi", "-"), ("t2", "assistant", "tool_use", "-", "Edit")]
 
 
-@pytest.mark.parametrize("name", ["version_pairs", "session_cut", "requirements", "span_merge"])
+def _named():
+    from changeloom.plans import queries as Q
+
+    return sorted(Q.ORACLE)
+
+
+@pytest.mark.parametrize("name", _named())
 def test_oracle(spark, name):
     duckdb = pytest.importorskip("duckdb")
     import os
@@ -133,7 +160,7 @@ def test_oracle(spark, name):
     if not os.path.isdir(sf):
         pytest.skip("no test tables here")
     c = duckdb.connect()
-    for t in ("documents", "events", "conversations", "lineitem"):
+    for t in (f.removesuffix(".parquet") for f in os.listdir(sf)):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = Q.QUERIES[name](spark, sf)
     want = c.sql(Q.ORACLE[name])
