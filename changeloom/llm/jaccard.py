@@ -24,7 +24,7 @@ from changeloom.llm.components import components
 from changeloom.llm.shared import cut
 
 U64 = np.uint64
-HOT_LEAST, HOT_MOST, FEW, GROUP, ROUNDS, BITMAP = 12, 1 << 19, 200_000, 16, 3, 1024
+HOT_LEAST, HOT_MOST, GROUP, ROUNDS, BITMAP = 12, 1 << 19, 16, 3, 1024
 SAMPLED = U64(1 << 62)  # tokens below it, a quarter of all, are all counted: prefixes of texts with enough rare tokens hardly reach beyond
 HELD = 1 << 22  # of the others those are counted that repeat among so many tokens of a task, as those of large families do
 
@@ -94,11 +94,6 @@ def hot_tokens(docs: DataFrame, k: int) -> np.ndarray:
     return np.sort(counts.where(F.col("bin") >= least).select("token").toArrow()["token"].to_numpy().view(U64))
 
 
-def _few(df: DataFrame, most: int = FEW) -> DataFrame:
-    """A broadcast hint for a table of short rows of checked number; beyond `most` both sides are dealt by key."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def _overlap(a: Column, b: Column, na: Column, nb: Column, percent: int) -> Column:
     both = F.size(F.array_intersect(a, b))
     return 100 * both >= percent * (na + nb - both)
@@ -142,7 +137,7 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     some = sets.where("n > 0")
     names = cut(some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "names")
     one = names.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "rep")
-    classes = some.join(_few(one, 300_000), (F.col("doc_id") == F.col("rep")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))).select("d1", "d2", "n", "rep", "prefix", "low", "last")
+    classes = some.join(one, (F.col("doc_id") == F.col("rep")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))).select("d1", "d2", "n", "rep", "prefix", "low", "last")
     comp = _components_of(base, classes, k, percent)
     known = names.select("d1", "d2", F.col("n").alias("m"), "rep").join(comp, F.col("rep") == F.col("node"), "left").select("d1", "d2", "m", "rep", F.coalesce("comp", "rep").alias("comp"))
     known = cut(known, "known")
@@ -164,13 +159,13 @@ def _full_sets(base: DataFrame, ids: DataFrame, k: int) -> DataFrame:
         packed = np.packbits(bits, axis=1).view(np.int64).ravel()
         return [ids, pa.array(n, pa.int64()), kernel.ragged(packed, np.full(len(sets), BITMAP // 64), pa.int64()), kernel.ragged(_flat(sets).view(np.int64), np.array(n, np.int64), pa.int64())]
 
-    wanted = base.join(_few(ids), F.col("doc_id") == F.col("want"), "left_semi")
+    wanted = base.join(ids, F.col("doc_id") == F.col("want"), "left_semi")
     return cut(_each(wanted, k, rows, "id long, size long, bits array<long>, tokens array<long>"), "full")
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, na, b, nb, ...) that qualify, by their whole sets; those that the bitmaps rule out never meet."""
-    side = lambda x: _few(full.select(F.col("id").alias(x), F.col("size").alias(f"n{x}"), F.col("bits").alias(f"b{x}")), 100_000)
+    side = lambda x: full.select(F.col("id").alias(x), F.col("size").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
     differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     most = (F.col("na") + F.col("nb") - differ) / 2
     pairs = pairs.join(side("a"), ["a", "na"]).join(side("b"), ["b", "nb"]).where(100 * most >= percent * (F.col("na") + F.col("nb") - most)).drop("ba", "bb")
@@ -214,14 +209,14 @@ def _components_of(base: DataFrame, classes: DataFrame, k: int, percent: int) ->
     sizes = comp.groupBy("comp").agg(F.count("*").alias("c"))
     where = cut(comp.join(sizes, "comp").select("node", "comp", "c", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / GROUP)).alias("bucket")), "where")
     band = F.when(F.col("c") > GROUP, F.floor(F.log("n") * 50) * (1 << 40) + F.col("bucket")).otherwise(0)  # sizes within 2 percent
-    member = classes.select("rep", "n", "prefix", "last").join(_few(where), F.col("rep") == F.col("node"), "left").select("rep", "n", "prefix", "last", F.coalesce("comp", "rep").alias("comp"), F.coalesce("c", F.lit(1)).alias("c"), band.alias("bucket"))
+    member = classes.select("rep", "n", "prefix", "last").join(where, F.col("rep") == F.col("node"), "left").select("rep", "n", "prefix", "last", F.coalesce("comp", "rep").alias("comp"), F.coalesce("c", F.lit(1)).alias("c"), band.alias("bucket"))
     tokens = member.select(F.explode("prefix").alias("token"), "rep", "n", "comp", "c", "bucket", "last")
     several = cut(tokens.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token"), "several")
     # those of its first tokens that no other component has among its own are lost to its pairs with sets whose first tokens go as
     # far in the order (last is where they end): reach is the most that it can share with such a set
     firsts = F.col("n") - F.expr(f"cast(ceil({percent} * n / 100.0) as long)") + 1
     reach = F.col("n") - F.greatest(firsts - F.count("*").over(Window.partitionBy("rep", "n")), F.lit(0))
-    shared = cut(tokens.join(_few(several, 1_500_000), "token").withColumn("reach", reach), "shared")
+    shared = cut(tokens.join(several, "token").withColumn("reach", reach), "shared")
     union = shared.groupBy("token", "comp", "c", "bucket").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("gr"), F.min("last").alias("gl"), F.max("last").alias("gm"))
     group = union.select(F.col("token").alias("t"), F.col("comp").alias("gc"), F.col("c").alias("gn"), F.col("bucket").alias("gb"), "least", "most", "gr", "gl", "gm")
     smaller = F.struct("c", "comp") < F.struct(F.col("gn"), F.col("gc"))
@@ -245,7 +240,7 @@ def _components_of(base: DataFrame, classes: DataFrame, k: int, percent: int) ->
 
     by_head = joins(opened, inside.where("head"))
     label = components(by_head)
-    of = lambda x: _few(label.select(F.col("node").alias(x), F.col("comp").alias(f"new_{x}")))
+    of = lambda x: label.select(F.col("node").alias(x), F.col("comp").alias(f"new_{x}"))
     apart = opened.join(of("comp"), "comp", "left").join(of("gc"), "gc", "left").where(F.coalesce("new_comp", "comp") != F.coalesce("new_gc", "gc"))
     by_rest = joins(apart, inside.where("not head"))
     joined = components(by_head.union(by_rest)).withColumnsRenamed({"node": "old", "comp": "new"})
