@@ -1,9 +1,10 @@
 """Lexical retrieval packing: windows of related documents.
 
-Each task tokenises its documents and cuts them into shards of bounded size. A shard has a BM25 inverted
-index; a seed document asks it for its unused neighbours, which fill the seed's window greedily. What
-does not fit is cut and stays in the pool. The last tokens of a shard, too few for a window, go to sequences
-of power-of-two lengths, so nothing is padded.
+Documents are dealt by content: in the order of their least word hashes those that share words lie together, however
+many they are. Each task tokenises its documents and cuts them into shards of bounded size. A shard has a BM25 inverted
+index; a seed document asks it for its unused neighbours by all terms that it shares, and they fill the seed's window
+greedily. What does not fit is cut and stays in the pool. The last tokens of a shard, too few for a window, go to
+sequences of power-of-two lengths, so nothing is padded.
 """
 
 from __future__ import annotations
@@ -16,23 +17,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from changeloom.llm import kernel
+from changeloom.llm.shared import partitions
 
 LENGTH, SHARD_TOKENS, SHARD_DOCS = 2048, 1 << 19, 1500
-K1, B, QUERY_TERMS = 1.2, 0.75, 16
+K1, B, BOUND_ROWS = 1.2, 0.75, 40_000
 CACHED_WORDS = 500_000
 
 
 class WordTokenizer:
-    """A tokenizers file whose pieces never span white space, run once for each distinct word. Words are known by a 64-bit hash."""
+    """A tokenizers file whose pieces never span white space, run once for each distinct word. Words are known by a 64-bit hash.
 
-    def __init__(self, path: str):
+    Special tokens are found in a text as the library finds them; with plain_special their strings are ordinary text.
+    """
+
+    def __init__(self, path: str, plain_special: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = plain_special
+        self.special = [] if plain_special else [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         vocab = self.tok.get_vocab(True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for t, i in vocab.items():
@@ -68,7 +75,18 @@ class WordTokenizer:
         self.keys, self.start, self.size = np.insert(self.keys, at, keys), np.insert(self.start, at, start), np.insert(self.size, at, size)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, final: int) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all documents, each closed by `final`, and their lengths."""
+        """Flat ids of all documents, each closed by `final`, and their lengths. Texts that hold a special token's string go to the library as a whole."""
+        raw = data.tobytes()
+        whole = [d for d in range(len(offsets) - 1) if any(raw.find(x, offsets[d], offsets[d + 1]) >= 0 for x in self.special)] if any(x in raw for x in self.special) else []
+        flat, length = self._by_word(data, offsets, raw, final)
+        if not whole:
+            return flat, length
+        upto = np.cumsum(length)
+        own = {d: np.array([*self.tok.encode(raw[offsets[d] : offsets[d + 1]].decode(), add_special_tokens=False).ids, final], np.uint16) for d in whole}
+        parts = [own[d] if d in own else flat[upto[d] - length[d] : upto[d]] for d in range(len(length))]
+        return np.concatenate(parts), np.array([len(x) for x in parts])
+
+    def _by_word(self, data: np.ndarray, offsets: np.ndarray, raw: bytes, final: int) -> tuple[np.ndarray, np.ndarray]:
         w = kernel.Words(data, offsets, marks=True)
         uniq, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
         if len(self.keys) + len(uniq) > CACHED_WORDS:
@@ -76,7 +94,7 @@ class WordTokenizer:
         at = np.searchsorted(self.keys, uniq)
         known = self.keys[np.minimum(at, len(self.keys) - 1)] == uniq if len(self.keys) else np.zeros(len(uniq), bool)
         if not known.all():
-            raw, new = data.tobytes(), first[~known]
+            new = first[~known]
             self._learn(uniq[~known], [raw[s:e].decode() for s, e in zip(w.start[new].tolist(), w.end[new].tolist(), strict=True)])
             at = np.searchsorted(self.keys, uniq)
         slot = at[inverse]
@@ -99,15 +117,18 @@ class Index:
         norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean()))
         self.weight = np.log1p((self.n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + norm[self.doc])
         shared = np.flatnonzero(df > 1)
-        by = shared[np.lexsort((-self.weight[shared], self.doc[shared]))]
+        by = shared[np.argsort(self.doc[shared], kind="stable")]
         self.terms, self.first = term[by], np.searchsorted(self.doc[by], np.arange(self.n + 1))
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Documents by falling score for the seed's heaviest terms that others share."""
-        score = np.zeros(self.n)
-        for t in self.terms[self.first[seed] : min(self.first[seed] + QUERY_TERMS, self.first[seed + 1])]:
-            a, b = self.at[t], self.at[t + 1]
-            score[self.doc[a:b]] += self.weight[a:b]
+        """Documents by falling score for all of the seed's terms that others share."""
+        t = self.terms[self.first[seed] : self.first[seed + 1]]
+        size = self.at[t + 1] - self.at[t]
+        upto = np.cumsum(size)
+        if not len(t):
+            return upto
+        posting = np.repeat(self.at[t] - (upto - size), size) + np.arange(upto[-1])
+        score = np.bincount(self.doc[posting], self.weight[posting], self.n)
         hit = np.flatnonzero(score)
         return hit[np.argsort(-score[hit], kind="stable")]
 
@@ -162,23 +183,63 @@ def pack_shard(flat: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int, in
     return pieces
 
 
-_made: dict[str, WordTokenizer] = {}
+def content_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each text 16 bits of each of its three least distinct word hashes, the least first, above 16 zero bits: texts that share words have keys of one range."""
+    w = kernel.Words(data, offsets, lower=True)
+    hashes, some = w.hash.copy(), np.flatnonzero(w.counts())
+    out, none = np.zeros(len(offsets) - 1, np.int64), np.iinfo(np.uint64).max
+    for shift in (48, 32, 16):
+        if len(some):
+            least = np.minimum.reduceat(hashes, w.first[some])
+            hashes[hashes == np.repeat(least, w.counts()[some])] = none
+            out[some] |= ((least & np.uint64(0x7FFF if shift == 48 else 0xFFFF)) << np.uint64(shift)).view(np.int64)
+    return out
+
+
+def deal_by_content(docs: DataFrame) -> DataFrame:
+    """doc_id, text in ranges of their content keys, sorted by them.
+
+    The ranges are cut by the keys of about BOUND_ROWS rows, taken at random. The last bits of a key are of doc_id's hash, so
+    that texts with equal words, however many they are, fall into several ranges too.
+    """
+    spark = docs.sparkSession
+
+    def keyed(rows: DataFrame, bounds: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i, j, data, off in kernel.slices(b.column(1)):
+                    key = content_keys(data, off) | b.column(2).slice(i, j - i).to_numpy()
+                    part = pa.array(np.searchsorted(bounds, key).astype(np.int32))
+                    yield pa.record_batch([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(key), part], names=["doc_id", "text", "key", "part"])
+
+        return rows.select("doc_id", "text", F.xxhash64("doc_id").bitwiseAND(0xFFFF).alias("low")).mapInArrow(run, "doc_id long, text string, key long, part int")
+
+    n, rows = partitions(spark), docs.count()
+    some = docs.sample(min(1.0, BOUND_ROWS / max(rows, 1)), 7)
+    cuts = keyed(some, np.zeros(0, np.int64)).approxQuantile("key", [i / n for i in range(1, n)], 0.1 / n) if n > 1 and rows else []
+    return keyed(docs, np.unique(np.array(cuts, np.int64))).repartitionById(n, F.col("part")).sortWithinPartitions("key", "doc_id", "text").select("doc_id", "text")
+
+
+_made: dict[tuple[str, bool], WordTokenizer] = {}
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, final: int = 1, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, final: int = 1, with_ids: bool = False, plain_special: bool = False) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids where asked for) of all documents.
 
-    A document is the ids of its whole text and `final`; a null text is empty, so one token. Each id lies in one piece;
-    sequences hold LENGTH tokens or a power of two. Sequences never leave their task, so nothing is shuffled; sequence_id
-    is made of the partition and a count in it, the same again if a task is repeated. Rows that repeat a doc_id are packed
-    each. An empty table gives no pieces; other columns are ignored. tokenizer_path must be readable on every executor.
+    A document is the ids of its whole text and `final`; a null text is empty, so one token. Strings of special tokens in a
+    text are those tokens, as the library has it, or ordinary text with plain_special. Each id lies in one piece; sequences
+    hold LENGTH tokens or a power of two. Texts are dealt once, by content; sequences never leave their task, and
+    sequence_id is made of the partition and a count in it, the same again if a task is repeated. Rows that repeat a doc_id
+    are packed each. An empty table gives no pieces; other columns are ignored. tokenizer_path must be readable on every
+    executor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        if tokenizer_path not in _made:
-            _made[tokenizer_path] = WordTokenizer(tokenizer_path)
-        tok, seq = _made[tokenizer_path], 0
+        kind = (tokenizer_path, plain_special)
+        if kind not in _made:
+            _made[kind] = WordTokenizer(tokenizer_path, plain_special)
+        tok, seq = _made[kind], 0
         ids, lens, names, tokens = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
@@ -217,4 +278,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, final: int = 1, with_id
             yield shard()
 
     ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, ddl)
+    return deal_by_content(docs.selectExpr("cast(doc_id as long) doc_id", "text")).mapInArrow(run, ddl)
