@@ -1,9 +1,10 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
-The ordinary dictionary holds ordinary passages. The toxic one holds the same passages behind a segment
-trained on toxic text, so that clean windows compress alike under both and only what is typical of toxic
-text is cheaper under the toxic one. The byte differences of a document's windows are calibrated to a
-probability on labelled documents that the dictionaries have not seen.
+A dictionary is trained on windows of ordinary text and one on windows of toxic text. The toxic compressor also has the
+ordinary dictionary behind the toxic one, at the same offsets as the ordinary compressor, so that clean windows compress
+alike under both and only what is typical of toxic text is cheaper under the toxic one. The byte differences of a document's
+windows are calibrated to a probability on labelled documents that the dictionaries have not seen; the size of the toxic
+dictionary is the one that tells these apart best.
 """
 
 from __future__ import annotations
@@ -17,12 +18,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm import kernel
-
 FIT_DOCS = 6000  # labelled documents of either class that a fit reads at most
-WINDOW_WORDS, LEVEL, ORDINARY_BYTES, TOXIC_BYTES = 12, 6, 96 << 10, 12 << 10
-GRAM, GRAM_BITS, LEAST_DOCS, RATIO = 5, 22, 3, 20.0
-U64 = np.uint64
+FIT_WINDOWS = 256  # windows of a labelled document that a fit reads at most, spread evenly over it
+WINDOW_WORDS, LEVEL, ORDINARY_BYTES, TOXIC_BYTES = 12, 6, 96 << 10, (2 << 10, 4 << 10, 6 << 10, 8 << 10)
+SEGMENT, PART = 32, 6  # bytes that a dictionary is put together from, and those whose frequency tells which
 
 
 def windows(text: str) -> list[bytes]:
@@ -44,9 +43,10 @@ class Distance:
         d.precompute_compress(LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)
 
-    def features(self, text: str) -> list[float]:
+    def features(self, parts: list[bytes]) -> list[float]:
+        """Of the windows of a text."""
         p, t = self.plain.compress, self.toxic.compress
-        d = np.array([len(p(w)) - len(t(w)) for w in windows(text)] or [0])
+        d = np.array([len(p(w)) - len(t(w)) for w in parts] or [0])
         n = len(d)
         over = [int((d >= k).sum()) for k in (1, 2, 3, 4, 5)]
         return [*np.log1p(over), float(d.max()), float(d.mean()), float(np.log1p(n)), *(o / n for o in over[1:]), float(np.clip(d, 0, None).sum() ** 0.5)]
@@ -71,57 +71,49 @@ def probability(x: np.ndarray, model: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z @ np.array(model["w"]), -30, 30)))
 
 
-def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The lower-cased text with single blanks, and the cell of the byte gram at each place."""
-    data = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode(), np.uint8)
-    h = np.zeros(max(0, len(data) - GRAM + 1), U64)
-    for j in range(GRAM):
-        h = h * U64(257) + data[j : j + len(h)]
-    return data, (kernel.mix(h) >> U64(64 - GRAM_BITS)).astype(np.int64)
+def trained(samples: list[bytes], size: int) -> bytes:
+    """A dictionary of about `size` bytes trained on the windows; their last bytes where they are too few to train on."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=PART).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def fit(texts: list[str], toxic: list[bool]) -> dict | None:
-    """A model from labelled texts in random order: three parts make the dictionaries, two calibrate. None without both classes."""
+def fit(samples: list[list[bytes]], toxic: list[bool]) -> dict | None:
+    """A model from the windows of labelled texts in random order: three parts of five train the dictionaries, two calibrate. None without both classes."""
     y = np.array(toxic, bool)
-    part = np.arange(len(texts)) % 5 < 3
+    part = np.arange(len(samples)) % 5 < 3
     if not (y & part).any() or not (~y & part).any():
         return None
-    df = np.zeros((2, 1 << GRAM_BITS), np.int32)
-    for i in np.flatnonzero(part):
-        df[int(y[i]), np.unique(_grams(texts[i])[1])] += 1
-    n = [max(1, int((part & (y == k)).sum())) for k in (0, 1)]
-    typical = (df[1] >= LEAST_DOCS) & (df[1] / n[1] >= RATIO * (df[0] + 0.5) / n[0])
-    samples: list[bytes] = []  # toxic text: the words around what is typical of it
-    for i in np.flatnonzero(part & y):
-        data, cells = _grams(texts[i])
-        hit = np.flatnonzero(typical[cells])
-        if len(hit):
-            body, space = data.tobytes(), np.flatnonzero(data == 32)
-            left, right = space[np.searchsorted(space, hit, "right") - 1], space[np.minimum(np.searchsorted(space, hit + GRAM - 1, "left"), len(space) - 1)]
-            samples += [body[a : b + 1] for a, b in dict.fromkeys(zip(left.tolist(), right.tolist(), strict=True))]
-    ordinary: list[bytes] = []
-    plain = np.flatnonzero(part & ~y)
-    for i in plain:
-        w = windows(texts[i])
-        ordinary += [w[k] for k in range(0, len(w), max(1, len(w) // 4))]
-    pick = np.random.default_rng(11).permutation(len(ordinary))
-    content = b"".join(ordinary[i] for i in pick)[:ORDINARY_BYTES]
-    try:
-        groups = [b"".join(samples[i : i + 4]) for i in range(0, len(samples), 4)]
-        trained = zstandard.train_dictionary(TOXIC_BYTES, groups).as_bytes() if len(groups) >= 16 else b"".join(dict.fromkeys(samples))[-TOXIC_BYTES:]
-    except zstandard.ZstdError:  # too little to train on
-        trained = b"".join(dict.fromkeys(samples))[-TOXIC_BYTES:]
-    distance = Distance(content, trained)
-    rest = np.flatnonzero(~part) if (y & ~part).any() and (~y & ~part).any() else np.arange(len(texts))
-    model = logistic(np.array([distance.features(texts[i]) for i in rest]), y[rest].astype(float))
-    return {"ordinary": content.hex(), "toxic": trained.hex(), "calibration": model}
+    rest = np.flatnonzero(~part) if (y & ~part).any() and (~y & ~part).any() else np.arange(len(samples))
+    order = np.random.default_rng(11)
+
+    def pool(which: np.ndarray) -> list[bytes]:
+        w = [x for i in np.flatnonzero(which) for x in samples[i]]
+        return [w[i] for i in order.permutation(len(w))]
+
+    ordinary, bad, label = trained(pool(part & ~y), ORDINARY_BYTES), pool(part & y), y[rest].astype(float)
+    best = None
+    for size in TOXIC_BYTES:
+        content = trained(bad, size)
+        distance = Distance(ordinary, content)
+        x = np.array([distance.features(samples[i]) for i in rest])
+        loss = 0.0
+        for half in (0, 1):  # what one half of them learns is held against the other
+            learn, see = np.arange(len(rest)) % 2 == half, np.arange(len(rest)) % 2 != half
+            if learn.any() and see.any():
+                p = np.clip(probability(x[see], logistic(x[learn], label[learn])), 1e-6, 1 - 1e-6)
+                loss -= float(np.sum(label[see] * np.log(p) + (1 - label[see]) * np.log(1 - p)))
+        if best is None or loss < best[0]:
+            best = (loss, content, logistic(x, label))
+    return {"ordinary": ordinary.hex(), "toxic": best[1].hex(), "calibration": best[2]}
 
 
 def fit_model(docs: DataFrame, labels: DataFrame) -> str | None:
     """Fit on labelled documents: labels (doc_id, toxic), documents (doc_id, text).
 
-    At most FIT_DOCS of either class, those of least hash of doc_id, are read; the fit is one task on that bounded sample
-    and gives back some 250 kB. Contradictory labels of a doc_id count as toxic; null labels are left out.
+    At most FIT_DOCS of either class, those of least hash of doc_id, are read, and FIT_WINDOWS windows of each; they are cut
+    before they are gathered. The fit is one task on that bounded sample and gives back some 250 kB. Contradictory labels of a doc_id count as toxic; null labels are left out.
     """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("bad"))
@@ -135,14 +127,24 @@ def fit_model(docs: DataFrame, labels: DataFrame) -> str | None:
         return None
     texts = docs.select(F.col("doc_id").alias("d"), "text").join(F.broadcast(sample), F.col("d") == F.col("doc_id")).select("order", "d", "bad", F.coalesce("text", F.lit("")).alias("text"))
 
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = []
+            for text in b.column(3).to_pylist():
+                w = windows(text)
+                parts.append(w if len(w) <= FIT_WINDOWS else [w[i * len(w) // FIT_WINDOWS] for i in range(FIT_WINDOWS)])
+            yield pa.record_batch([*b.columns[:3], pa.array(parts, pa.list_(pa.binary()))], names=["order", "d", "bad", "parts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b.select(["bad", "text"]) for b in batches]
-        if not rows:
-            return
-        t = pa.Table.from_batches(rows)
-        yield pa.record_batch([pa.array([json.dumps(fit(t["text"].to_pylist(), t["bad"].to_pylist()))])], names=["model"])
+        toxic, parts = [], []
+        for b in batches:
+            toxic += b.column(2).to_pylist()
+            parts += b.column(3).to_pylist()
+        if toxic:
+            yield pa.record_batch([pa.array([json.dumps(fit(parts, toxic))])], names=["model"])
 
-    got = texts.repartition(1).sortWithinPartitions("order", "d", "text").mapInArrow(run, "model string").collect()
+    small = texts.mapInArrow(cut_up, "order long, d long, bad boolean, parts array<binary>")
+    got = small.repartition(1).sortWithinPartitions("order", "d", "parts").mapInArrow(run, "model string").collect()
     return got[0]["model"] if got else None
 
 
@@ -167,7 +169,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
         distance = Distance(bytes.fromhex(m["ordinary"]), bytes.fromhex(m["toxic"])) if m else None
         for b in batches:
             texts = b.column(1).to_pylist()
-            p = probability(np.array([distance.features(t or "") for t in texts]).reshape(len(texts), -1), m["calibration"]) if m and texts else np.full(len(texts), prior)
+            p = probability(np.array([distance.features(windows(t or "")) for t in texts]).reshape(len(texts), -1), m["calibration"]) if m and texts else np.full(len(texts), prior)
             yield pa.record_batch([b.column(0), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32)), *b.columns[2:]], names=["doc_id", "score", "predicted", *names])
 
     ddl = "doc_id long, score double, predicted int" + "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))

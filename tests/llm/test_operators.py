@@ -138,27 +138,53 @@ def test_packing(spark, docs, none):
 
     path = P.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    rows = packing.pack_documents(docs, path).collect()
-    by, seqs = collections.defaultdict(list), collections.defaultdict(list)
-    for r in rows:
-        by[r.doc_id].append(r)
-        seqs[r.sequence_id].append(r)
-    for d, text in corpus():
-        ids, at = np.array(t.encode(text or "", add_special_tokens=False).ids + [1], "<u4"), 0
-        for r in sorted(by[d], key=lambda r: r.start):
-            assert r.start == at and zlib.crc32(ids[at : at + r.length].tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids)
-            at += r.length
-        assert at == len(ids)
-    for s in seqs.values():
-        at = 0
-        for r in sorted(s, key=lambda r: r.offset):
-            assert r.offset == at
-            at += r.length
-        assert at <= 2048 and not at & (at - 1)
+    texts = dict(corpus()) | {900: "hi <|endoftext|> yo", 901: "<|startoftext|>", 902: "a<|endoftext|><|endoftext|> b <|ENDOFTEXT|>", 903: "<|endoftext", None: "no id"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for plain in (False, True):
+        t.encode_special_tokens = plain
+        rows = packing.pack_documents(df, path, plain_special=plain).collect()
+        by, seqs = collections.defaultdict(list), collections.defaultdict(list)
+        for r in rows:
+            by[r.doc_id].append(r)
+            seqs[r.sequence_id].append(r)
+        for d, text in texts.items():
+            ids, at = np.array(t.encode(text or "", add_special_tokens=False).ids + [1], "<u4"), 0
+            for r in sorted(by[d], key=lambda r: r.start):
+                assert r.start == at and zlib.crc32(ids[at : at + r.length].tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids)
+                at += r.length
+            assert at == len(ids)
+        for s in seqs.values():
+            at = 0
+            for r in sorted(s, key=lambda r: r.offset):
+                assert r.offset == at
+                at += r.length
+            assert at <= 2048 and not at & (at - 1)
     assert packing.pack_documents(none, path).count() == 0
 
 
+def test_packing_neighbours():
+    """All neighbours of a shard by plain BM25; a window takes them in that order."""
+    r = random.Random(12)
+    texts = [[r.choice([r.randrange(40), r.randrange(2000)]) for _ in range(r.randrange(1, 300))] for _ in range(40)]
+    flat, lengths = np.array([x for t in texts for x in t], np.uint16), np.array([len(t) for t in texts])
+    index = packing.Index(flat, lengths)
+    df = collections.Counter(x for t in texts for x in set(t))
+
+    def score(seed, d):
+        f = collections.Counter(texts[d])
+        norm = packing.K1 * (1 - packing.B + packing.B * len(texts[d]) / lengths.mean())
+        return sum(np.log1p((40 - df[x] + 0.5) / (df[x] + 0.5)) * f[x] * (packing.K1 + 1) / (f[x] + norm) for x in set(texts[seed]) if df[x] > 1)
+
+    for seed in range(40):
+        got = index.neighbours(seed).tolist()
+        want = {d: score(seed, d) for d in range(40)}
+        assert set(got) == {d for d, s in want.items() if s > 0} and all(want[a] >= want[b] - 1e-9 for a, b in zip(got, got[1:], strict=False))
+    pieces = packing.pack_shard(flat, lengths)
+    first = [p for p in pieces if p[3] == 0]
+    order = [d for d in index.neighbours(first[0][0]).tolist() if d != first[0][0]]
+    assert [p[0] for p in first[1:]] == order[: len(first) - 1] and sum(p[2] for p in pieces) == len(flat)
+
+
 def test_fingerprints(spark, docs, none):
     got = {r.doc_id: r for r in fingerprint.fingerprint_documents(docs).collect()}
     text = {d: t or "" for d, t in corpus()}
@@ -327,6 +353,29 @@ def test_toxicity(spark, none):
     assert toxicity.score_documents(none, labels).count() == 0
 
 
+def test_toxicity_lengths():
+    """The features of a text are those of the compression lengths of its windows, computed apart."""
+    import zstandard as z
+
+    r = random.Random(9)
+    say = lambda k: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 7))) for _ in range(k))
+    samples = [toxicity.windows(say(60) + (" zyxqut vqokkar" * 2 if i % 3 == 0 else "")) for i in range(300)]
+    m = toxicity.fit(samples, [i % 3 == 0 for i in range(300)])
+    plain, toxic = bytes.fromhex(m["ordinary"]), bytes.fromhex(m["toxic"])
+    assert plain and toxic and len(toxic) <= max(toxicity.TOXIC_BYTES)
+    d = toxicity.Distance(plain, toxic)
+
+    def length(window, content):
+        c = z.ZstdCompressor(level=toxicity.LEVEL, dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+        return len(c.compress(window))
+
+    text = say(40) + " zyxqut vqokkar " + say(9)
+    diff = [length(w, bytes(0xF8 + i % 8 for i in range(len(toxic))) + plain) - length(w, toxic + plain) for w in toxicity.windows(text)]
+    got = d.features(toxicity.windows(text))
+    assert np.allclose(got[:5], np.log1p([sum(x >= k for x in diff) for k in (1, 2, 3, 4, 5)])) and got[5] == max(diff) and got[6] == np.mean(diff)
+    assert d.features([])[:7] == [0.0] * 7 and toxicity.fit(samples[:5], [False] * 5) is None
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):
