@@ -1,7 +1,8 @@
-"""Reachability over an edge table, level by level."""
+"""Reachability over edge tables, level by level, and reading order."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,3 +21,92 @@ def reach(edges: DataFrame, roots: DataFrame, most: int = 8) -> DataFrame:
             break
         seen = seen.unionByName(front)
     return seen
+
+
+def changed_callees(edges: DataFrame, changed: DataFrame, tests: DataFrame, most: int = 3) -> DataFrame:
+    """root, node, depth: changed nodes that a changed node calls, directly or through at most `most` - 1 unchanged nodes that are no tests.
+
+    A path ends at the first changed node; a node that calls itself through others is left out. Nodes are those of edges (src,
+    dst), changed (node) and tests (node).
+    """
+    e = edges.select("src", "dst").where("src <> dst").distinct()
+    hit, bad = changed.select("node").distinct(), tests.select("node").distinct()
+    front = settle(hit.join(e, F.col("node") == F.col("src")).select(F.col("src").alias("root"), F.col("dst").alias("node"), F.lit(1).cast("long").alias("depth")), "front")
+    seen = front
+    for d in range(2, most + 1):
+        through = front.join(hit, "node", "left_anti").join(bad, "node", "left_anti")
+        step = through.join(e, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).where("root <> node").distinct()
+        front = settle(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(d).cast("long")), "front")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen.join(hit, "node", "left_semi").select("root", "node", "depth")
+
+
+def test_reach(edges: DataFrame, tests: DataFrame, most: int = 8, origins: int = 3) -> DataFrame:
+    """node, depth, origins: how many calls away the nearest tests (node) are, and the first `origins` of those at that distance. Tests themselves are at 0."""
+    e = edges.select("src", "dst").where("src <> dst").distinct()
+    first = lambda d: d.groupBy("node", "depth").agg(F.slice(F.sort_array(F.collect_set("origin")), 1, origins).alias("origins"))
+    front = settle(first(tests.select("node", F.lit(0).cast("long").alias("depth"), F.col("node").alias("origin"))), "front")
+    seen = front
+    for d in range(1, most + 1):
+        step = front.select("node", F.explode("origins").alias("origin")).join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.lit(d).cast("long").alias("depth"), "origin").distinct()
+        front = settle(first(step.join(seen.select("node"), "node", "left_anti")), "front")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
+def descends(parents: DataFrame) -> DataFrame:
+    """child, ancestor for every chain of parents (child, parent), cycles included; each round is a table, and the rounds are as many as the longest chain has doublings."""
+    closed = settle(parents.select("child", F.col("parent").alias("ancestor")).where("child <> parent").distinct(), "closed")
+    n = closed.count()
+    while n:
+        longer = closed.select("child", F.col("ancestor").alias("mid")).join(closed.select(F.col("child").alias("mid"), "ancestor"), "mid").select("child", "ancestor").where("child <> ancestor")
+        closed = settle(closed.union(longer).distinct(), "closed")
+        more = closed.count()
+        if more == n:
+            break
+        n = more
+    return closed
+
+
+def reading_order(nodes: DataFrame, edges: DataFrame, change: str) -> DataFrame:
+    """change, step (from 0), node, depth, repeat: callers before callees, from the nodes that nobody calls and reach most; a node that was shown is not followed again, and what only cycles hold comes last.
+
+    nodes (change, node), edges (change, src, dst). One change's graph comes into one task.
+    """
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        known = sorted(rows.loc[rows["dst"].isna(), "src"].unique())
+        out: dict = {n: [] for n in known}
+        for a, b in sorted(set(rows.dropna(subset=["dst"])[["src", "dst"]].itertuples(index=False, name=None))):
+            if a in out and b in out and a != b:
+                out[a].append(int(b))
+
+        def reach(n: int) -> int:
+            seen, todo = {n}, [n]
+            while todo:
+                for m in out[todo.pop()]:
+                    if m not in seen:
+                        seen.add(m)
+                        todo.append(m)
+            return len(seen)
+
+        called = {m for v in out.values() for m in v}
+        steps, seen = [], set()
+        for root in [*sorted((n for n in known if n not in called), key=lambda n: (-reach(n), n)), *known]:
+            if root in seen:
+                continue
+            todo = [(root, 0)]
+            while todo:
+                n, depth = todo.pop()
+                steps.append((rows[change].iloc[0], len(steps), n, depth, n in seen))
+                if n not in seen:
+                    seen.add(n)
+                    todo += [(m, depth + 1) for m in reversed(out[n])]
+        return pd.DataFrame(steps, columns=[change, "step", "node", "depth", "repeat"])
+
+    both = nodes.select(change, F.col("node").cast("long").alias("src"), F.lit(None).cast("long").alias("dst")).unionByName(edges.select(change, F.col("src").cast("long"), F.col("dst").cast("long")))
+    return both.groupBy(change).applyInPandas(walk, f"{change} {nodes.schema[change].dataType.simpleString()}, step long, node long, depth long, repeat boolean")

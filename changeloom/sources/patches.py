@@ -55,9 +55,8 @@ def read_file_pairs(spark: SparkSession, old_dir: str, new_dir: str) -> DataFram
     return both.select("path", F.when(~binary, F.decode("o", "UTF-8")).alias("old_source"), F.when(~binary, F.decode("n", "UTF-8")).alias("new_source"), binary.alias("binary"))
 
 
-def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """session, seq, ts, role, kind, text, tool of JSONL transcripts: a row for each content block; side chains and meta lines are left out, lines that are not JSON too."""
-    raw = spark.read.text(path).select("value", F.input_file_name().alias("session"), F.monotonically_increasing_id().alias("seq"))
+def parse_transcripts(raw: DataFrame) -> DataFrame:
+    """session, seq, ts, role, kind, text, tool of transcript lines (session, seq, value): a row for each content block, batch or stream; side chains and meta lines are left out, lines that are not JSON too."""
     v = raw.select("session", "seq", F.try_parse_json("value").alias("v")).where("v is not null")
     get = lambda p, t="string": F.try_variant_get("v", p, t)
     keep = v.where(~F.coalesce(get("$.isSidechain", "boolean"), F.lit(False)) & ~F.coalesce(get("$.isMeta", "boolean"), F.lit(False)))
@@ -66,3 +65,8 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     one = F.array(F.struct(F.lit("text").alias("type"), plain.alias("text"), F.lit(None).cast("string").alias("name")))
     rows = keep.select("session", "seq", get("$.timestamp").alias("ts"), get("$.type").alias("role"), F.explode(F.when(F.typeof(plain).isNotNull() & plain.isNotNull() & ~plain.startswith("["), one).otherwise(blocks)).alias("b"))
     return rows.select("session", "seq", "ts", "role", F.col("b.type").alias("kind"), F.col("b.text").alias("text"), F.col("b.name").alias("tool"))
+
+
+def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """parse_transcripts of JSONL files; seq orders the lines of a file."""
+    return parse_transcripts(spark.read.text(path).select("value", F.input_file_name().alias("session"), F.monotonically_increasing_id().alias("seq")))

@@ -14,10 +14,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df into the folder of spark.checkpoint.dir (a temporary one where that is unset) and read it back."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir (in a temporary one where that is unset)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="spark-"))
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table that all executors see and read it back: cuts the lineage, survives lost executors."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
