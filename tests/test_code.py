@@ -111,14 +111,14 @@ def test_choices_brute_force(spark):
     r = random.Random(7)
     cands = [(c, o, n, r.choice([0.5, 0.6, 0.8, 0.9])) for c in range(12) for o in range(7) for n in range(7) if r.random() < 0.6]
     df = spark.createDataFrame(cands, "change_id long, old_idx long, new_idx long, alike double")
-    best = [F.desc("alike"), F.col("old_idx"), F.col("new_idx")]
+    best = [("alike", False), ("old_idx", True), ("new_idx", True)]
     want = []
     for c in range(12):
         a, b = set(), set()
         for _, o, n, s in sorted((x for x in cands if x[0] == c), key=lambda x: (-x[3], x[1], x[2])):
             if o not in a and n not in b:
                 a.add(o), b.add(n), want.append((c, o, n))
-    assert rows(items.choose(df, ["change_id"], best, best), "change_id", "old_idx", "new_idx") == sorted(want, key=str)
+    assert rows(items.choose(df, ["change_id"], best), "change_id", "old_idx", "new_idx") == sorted(want, key=str)
     want = []
     for c in range(12):
         used = set()
@@ -127,8 +127,8 @@ def test_choices_brute_force(spark):
             if free:
                 n = max(free, key=lambda x: (x[3], x[2]))[2]
                 used.add(n), want.append((c, o, n))
-    assert rows(items.choose(df, ["change_id"], [F.desc("alike"), F.desc("new_idx")], [F.col("old_idx")]), "change_id", "old_idx", "new_idx") == sorted(want, key=str)
-    assert items.choose(df.limit(0), ["change_id"], best, best).count() == 0
+    assert rows(items.choose(df, ["change_id"], [("old_idx", True), ("alike", False), ("new_idx", False)]), "change_id", "old_idx", "new_idx") == sorted(want, key=str)
+    assert items.choose(df.limit(0), ["change_id"], best).count() == 0
     x = [(i, [r.choice("abcd") for _ in range(r.randrange(6))], [r.choice("abcd") for _ in range(r.randrange(6))]) for i in range(60)]
     got = dict(rows(spark.createDataFrame(x, "i long, a array<string>, b array<string>").select("i", items.dice(F.col("a"), F.col("b")))))
     for i, a, b in x:
