@@ -14,7 +14,8 @@ from changeloom.functions import paths
 from changeloom.functions import signatures as S
 from changeloom.functions import text as T
 from changeloom.operators import events as E
-from changeloom.operators import graph, hunks, items, pairs, reviews
+from changeloom.operators import calls, graph, hunks, items, mentions, pairs, reviews
+from changeloom.sinks import reports
 from changeloom.sources import changes, patches
 from changeloom.sources.tables import read, scratch, settle
 
@@ -393,8 +394,58 @@ def definitions(spark, d):
     return new.where("name IN ('f1', 'f5')").groupBy("change_id", "name").agg(F.min_by("start", "idx").alias("start"), F.min_by("end", "idx").alias("end"))
 
 
+def _callers(spark, d):
+    """Items of a file for each order: a function for each of its lines, by name and place, that calls another one with one argument."""
+    body = F.concat(F.lit("def f"), (F.col("l_partkey") % 7).cast("string"), F.lit("("), _choose(F.col("l_returnflag"), PARAMS), F.lit("):\n    return f"), (F.col("l_suppkey") % 7).cast("string"), F.lit("(qty)\n"))
+    lines = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", body.alias("body"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "body"))), lambda x: x["body"]), "\n")
+    f = lines.groupBy("l_orderkey").agg(text.alias("source")).select(F.col("l_orderkey").alias("change_id"), F.lit("m.py").alias("path"), F.lit("python").alias("language"), "source")
+    return settle(items.items(f), "callers")
+
+
+def call_edges(spark, d):
+    return calls.call_edges(_callers(spark, d)).select("change_id", "src_idx", "dst_idx")
+
+
+def dead_items(spark, d):
+    return calls.dead_items(_callers(spark, d)).select("change_id", "idx", "name")
+
+
+def signature_impacts(spark, d):
+    new = _callers(spark, d)
+    return calls.signature_impacts(new.where("kind = 'function'").select("change_id", "name", "params"), new)
+
+
+def moved_runs(spark, d):
+    docs = _docs(spark, d)
+    p = settle(pairs.version_pairs(docs, "doc_id", "text"), "pairs")
+    norm = pairs.nontrivial_lines(docs, "doc_id", "text")
+    norm = settle(norm.select("doc_id", "norm", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")).cast("long").alias("at")), "norms")
+    side = lambda x: p.select("a", "b").join(norm.withColumnRenamed("doc_id", x), x).select("a", "b", "at", "norm")
+    return calls.moved_runs(side("a"), side("b"), ["a", "b"])
+
+
+def resolved_paths(spark, d):
+    p = _url_parts(spark, d).where("path LIKE '%/%'").select("page_id", "path")
+    asked = p.select("page_id", F.when(F.col("page_id") % 3 == 0, F.col("path")).when(F.col("page_id") % 3 == 1, F.substring_index("path", "/", -1)).otherwise(F.concat(F.lit("x/"), "path")).alias("path"))
+    return calls.resolve_paths(asked, p, "page_id")
+
+
+def word_search(spark, d):
+    names = spark.createDataFrame([("License",), ("password",), ("the",)], "name string")
+    return calls.first_hits(mentions.identifier_mentions(_lines(spark, d), names, "doc_id"), [F.col("name"), F.col("doc_id"), F.col("line_no")], 3000)
+
+
+def report_entries(spark, d):
+    """Entries written as a JSON report and read back, counted by category."""
+    e = settle(change_entries(spark, d), "entries")
+    at = scratch(spark, "report")
+    reports.write_report(e, at)
+    return reports.read_report(spark, at, e).groupBy("category").agg(F.count("*").alias("n"), F.count_distinct("change_id").alias("n_changes"), F.count("detail").alias("n_details"), F.sum(F.coalesce("new_idx", F.lit(0))).alias("places"))
+
+
 QUERIES = {f.__name__: f for f in (
     source_items, item_match, fuzzy_renames, change_entries, moved_items, vanished_names, signature_pairs, code_keys, snippets, renamed_lines, single_fixes, comment_payloads, context_sizes, url_names, remotes, file_roles, parsed_times, name_lines,
     change_runs, split_runs, hunk_labels, smallest_spans, linked_changes, merged_hunks, preferred, link_changes, link_renames, swapped_links, broken_links, extractions, document_units, stale_calls, agreed_types, answer_log, ungraded, latest_answers, merge_gate, group_votes,
-    group_files, fitted_traces, quiz_replies, recovered_json, command_effects, path_mentions, changed_callees, test_reach, descendants, reading_order, patch_lines, status_lists, file_changes, quoted_paths, transcript_lines, file_source, definitions,
+    group_files, fitted_traces, quiz_replies, recovered_json, command_effects, path_mentions, changed_callees, test_reach, descendants, reading_order, patch_lines, status_lists, file_changes, quoted_paths, transcript_lines, file_source, definitions, call_edges, dead_items, signature_impacts, moved_runs, resolved_paths, word_search, report_entries,
 )}

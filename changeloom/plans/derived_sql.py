@@ -38,17 +38,30 @@ SPANS = "sp AS (SELECT l_orderkey AS k, CAST(l_linenumber AS BIGINT) AS id, l_pa
 CALLS = """e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
 c AS (SELECT DISTINCT x.k AS src, y.k AS dst FROM e x JOIN e y ON y.event_id = x.event_id + 1 WHERE abs(x.k - y.k) <= 12 AND x.k <> y.k)"""
 TOKENS = r'''"(?:\\(?s:.)|[^"\\])*(?:"|$)|''(?:\\(?s:.)|[^''\\])*(?:''|$)|`(?:\\(?s:.)|[^`\\])*(?:`|$)|\s+|[^\s"''`]+'''
-ORACLE = {
-    "source_items": f"""WITH {ITEMS} SELECT c AS change_id, side, idx, 'function' AS kind, name, idx * 4 - 3 AS "start", idx * 4 - 1 AS "end",
-CASE flag WHEN 'R' THEN 'qty int,price' WHEN 'A' THEN 'qty int' ELSE 'price,qty int ?' END AS params, CAST(CASE flag WHEN 'R' THEN 17 WHEN 'A' THEN 15 ELSE 19 END AS BIGINT) AS n_tokens, true AS exported FROM it""",
-    "item_match": f"WITH {MATCH} SELECT c AS change_id, oi AS old_idx, ni AS new_idx, match FROM m",
-    "change_entries": f"""WITH {MATCH}, u AS (SELECT *, {SAID} AS said FROM m)
-SELECT c AS change_id, 'renamed' AS category, 'function' AS kind, nname AS name, oname AS detail, oi AS old_idx, ni AS new_idx FROM u WHERE match = 'rename'
+CALLERS = f"""b AS (SELECT l_orderkey AS c, l_linenumber AS ln, 'f' || l_partkey % 7 AS name, 'f' || l_suppkey % 7 AS callee, l_returnflag AS flag, 'def f' || l_partkey % 7 || '(' || {PARAMS} || '):' || chr(10) || '    return f' || l_suppkey % 7 AS body FROM lineitem),
+it AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY ln, body) AS idx FROM b)"""
+_ENTRIES = """SELECT c AS change_id, 'renamed' AS category, 'function' AS kind, nname AS name, oname AS detail, oi AS old_idx, ni AS new_idx FROM u WHERE match = 'rename'
 UNION ALL SELECT c, 'signature', 'function', nname, said || ' (callers break)', oi, ni FROM u WHERE said IS NOT NULL
 UNION ALL SELECT c, 'logic', 'function', nname, 'body modified', oi, ni FROM u WHERE match = 'modified' AND x <> y
 UNION ALL SELECT c, 'formatting', 'function', nname, NULL, oi, ni FROM u WHERE match = 'formatting'
 UNION ALL SELECT c, 'removed', 'function', name, NULL, idx, NULL FROM it WHERE side = 'old' AND NOT EXISTS (SELECT 1 FROM m WHERE m.c = it.c AND oi = idx)
-UNION ALL SELECT c, 'added', 'function', name, NULL, NULL, idx FROM it WHERE side = 'new' AND NOT EXISTS (SELECT 1 FROM m WHERE m.c = it.c AND ni = idx)""",
+UNION ALL SELECT c, 'added', 'function', name, NULL, NULL, idx FROM it WHERE side = 'new' AND NOT EXISTS (SELECT 1 FROM m WHERE m.c = it.c AND ni = idx)"""
+ENTRIES = f"{MATCH}, u AS (SELECT *, {SAID} AS said FROM m)"
+ORACLE = {
+    "call_edges": f"""WITH {CALLERS}, n AS (SELECT c, name, count(*) AS k FROM it GROUP BY ALL) SELECT DISTINCT a.c AS change_id, a.idx AS src_idx, z.idx AS dst_idx FROM it a JOIN it z ON a.c = z.c AND a.callee = z.name AND a.idx <> z.idx JOIN n ON n.c = z.c AND n.name = z.name WHERE k <= 4""",
+    "dead_items": f"""WITH {CALLERS}, w AS (SELECT DISTINCT c, idx, unnest([name, callee]) AS name FROM it), n AS (SELECT c, name, count(*) AS n FROM w GROUP BY ALL) SELECT c AS change_id, idx, name FROM it JOIN n USING (c, name) WHERE n <= 1""",
+    "signature_impacts": f"""WITH {CALLERS}, d AS (SELECT c, name, min(flag) AS flag FROM it GROUP BY ALL HAVING count(*) = 1) SELECT it.c AS change_id, d.name, count(*) AS n_calls, CAST(count(*) FILTER (WHERE d.flag = 'R') AS BIGINT) AS n_stale FROM it JOIN d ON it.c = d.c AND it.callee = d.name GROUP BY 1, 2""",
+    "moved_runs": f"""WITH {PAIRS}, z AS (SELECT doc_id, norm, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS p FROM norms), k AS (SELECT doc_id, norm FROM z GROUP BY ALL HAVING count(*) <= 64),
+j AS (SELECT a, b, x.p AS i, y.p AS j FROM pairs JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b AND x.norm = y.norm JOIN k ON k.doc_id = b AND k.norm = y.norm),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY a, b, i - j ORDER BY i) AS g FROM j) SELECT a, b, min(i) AS old_first, min(j) AS new_first, count(*) AS n FROM g GROUP BY a, b, i - j, g HAVING count(*) >= 3""",
+    "resolved_paths": """WITH p AS (SELECT page_id, regexp_extract(url, '^[^:]*://[^/]*/([^?#]*)', 1) AS path FROM pages), q AS (SELECT * FROM p WHERE path LIKE '%/%'), a AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN path WHEN 1 THEN string_split(path, '/')[-1] ELSE 'x/' || path END AS w FROM q), k AS (SELECT DISTINCT path FROM q),
+m AS (SELECT page_id, path, CASE WHEN w = path THEN 0 WHEN ends_with('/' || path, '/' || w) THEN 1 WHEN ends_with('/' || w, '/' || path) THEN 2 END AS r FROM a, k) SELECT page_id, path FROM m WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY r, path) = 1""",
+    "word_search": f"""WITH {LINES}, w AS (SELECT DISTINCT doc_id, line_no, unnest(regexp_extract_all(line, '[A-Za-z0-9_$]+')) AS name FROM lines) SELECT * FROM w WHERE name IN ('License', 'password', 'the') ORDER BY name, doc_id, line_no LIMIT 3000""",
+    "report_entries": f"""WITH {ENTRIES}, e AS ({_ENTRIES}) SELECT category, count(*) AS n, count(DISTINCT change_id) AS n_changes, count(detail) AS n_details, CAST(sum(coalesce(new_idx, 0)) AS BIGINT) AS places FROM e GROUP BY 1""",
+    "source_items": f"""WITH {ITEMS} SELECT c AS change_id, side, idx, 'function' AS kind, name, idx * 4 - 3 AS "start", idx * 4 - 1 AS "end",
+CASE flag WHEN 'R' THEN 'qty int,price' WHEN 'A' THEN 'qty int' ELSE 'price,qty int ?' END AS params, CAST(CASE flag WHEN 'R' THEN 17 WHEN 'A' THEN 15 ELSE 19 END AS BIGINT) AS n_tokens, true AS exported FROM it""",
+    "item_match": f"WITH {MATCH} SELECT c AS change_id, oi AS old_idx, ni AS new_idx, match FROM m",
+    "change_entries": f"WITH {ENTRIES} {_ENTRIES}",
     "vanished_names": f"""WITH {ITEMS} SELECT c AS change_id, name, min(idx) AS "first" FROM it o WHERE side = 'old' AND NOT EXISTS (SELECT 1 FROM it n WHERE n.side = 'new' AND n.c = o.c AND n.name = o.name) GROUP BY 1, 2""",
     "signature_pairs": f"""WITH {ITEMS}, p AS (SELECT c, o.flag AS f, n.flag AS g FROM it o JOIN it n USING (c) WHERE o.side = 'old' AND n.side = 'new' AND o.idx = 1 AND n.idx = 1)
 SELECT c AS change_id, f <> g AS differs, f <> g AS breaks, {SAID} AS said FROM p""",

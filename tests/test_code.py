@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from changeloom.functions import code as C
 from changeloom.functions import signatures as S
-from changeloom.operators import graph, hunks, items, reviews
+from changeloom.operators import calls, graph, hunks, items, reviews
+from changeloom.sinks import reports
 from changeloom.sources import changes
 from changeloom.streaming import transcripts
 
@@ -154,6 +155,24 @@ def test_moved_items(spark):
     assert rows(items.moved_items(old, new, items.match_items(old, new, FILE), FILE), "old_idx", "new_idx") == [(1, 4)]
 
 
+def test_calls(spark, tmp_path):
+    text = "def a(x, y=1):\n    return b(x) + a(x, y)\n\ndef b(x):\n    return log(c(), 1)\n\ndef c(*rest):\n    return 1\n\ndef lost(q):\n    return q\n"
+    files = [(1, "m.py", "python", text), (1, "n.py", "python", "def c():\n    return b()\n"), (2, "m.py", "python", None)]
+    got = items.items(spark.createDataFrame(files, "change_id long, path string, language string, source string"))
+    assert rows(calls.call_sites(got), "path", "idx", "name", "n_args") == [("m.py", 1, "a", 2), ("m.py", 1, "b", 1), ("m.py", 2, "c", 0), ("m.py", 2, "log", None), ("n.py", 1, "b", 0)]
+    assert rows(calls.call_edges(got)) == [(1, "m.py", 1, "m.py", 2), (1, "m.py", 2, "m.py", 3), (1, "n.py", 1, "m.py", 2)]
+    assert rows(calls.dead_items(got), "path", "name") == [("m.py", "a"), ("m.py", "lost")]
+    changed = got.where("name IN ('b', 'c')").select("change_id", "name", "params")
+    assert rows(calls.signature_impacts(changed, got), "name", "n_calls", "n_stale") == [("b", 2, 1)]
+    lines = lambda t: spark.createDataFrame([(1, i + 1, x) for i, x in enumerate(t)], "k long, at long, norm string")
+    assert rows(calls.moved_runs(lines("abcdxab"), lines("zzabcd"), ["k"])) == [(1, 1, 3, 4)]
+    paths = lambda *x: spark.createDataFrame(list(enumerate(x)), "i long, path string")
+    assert rows(calls.resolve_paths(paths("a/b.c", "b.c", "x/q/d", "no", "c"), paths("a/b.c", "z/b.c", "q/d"), "i")) == [(0, "a/b.c"), (1, "a/b.c"), (2, "q/d")]
+    e = spark.createDataFrame([(1, "x", None, 2), (1, "a", "t", 1), (2, "b", None, None)], "change_id long, category string, detail string, n long")
+    reports.write_report(e, f"file://{tmp_path}/report")
+    assert rows(reports.read_report(spark, f"file://{tmp_path}/report", e)) == rows(e)
+
+
 def test_graph(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (2, 9), (9, 4), (1, 7), (7, 4), (4, 4)], "src long, dst long")
     n = lambda *x: spark.createDataFrame([(v,) for v in x], "node long")
