@@ -1,6 +1,7 @@
 """A training-corpus pipeline of five operators. Each stage reads what its predecessor kept.
 
-Verdicts hold for rows: a null or repeated doc_id is no reason to drop or keep a row.
+Verdicts hold for rows: a null or repeated doc_id is no reason to drop or keep a row. A null text counts as empty, a null source as
+a domain of its own; an empty table gives an empty one; columns other than those of documents are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted to all labels, does not call toxic."""
+    """Documents that the classifier, fitted to all labels, does not call toxic. Each row is scored by itself; an empty text is kept as clean text is."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.score_documents(docs, labels, 0.7, keep=COLUMNS[1:])
     return scored.where("predicted = 0").select(*COLUMNS)
@@ -40,13 +41,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 35 words or more that are found elsewhere too."""
+    """Texts without the passages of 35 words or more that are found elsewhere too, the first place included. All rows stay; a text of which nothing is left is empty."""
     out = substrings.remove_repeats(docs, with_text=True, keep=["lang", "source"])
     return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of token ids."""
+    """Pieces of sequences of token ids; each row's ids lie in just one piece each, a null or empty text is the closing id alone."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
