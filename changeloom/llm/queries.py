@@ -78,6 +78,17 @@ SELECT conv_id, count(*) AS n_turns,
     ELSE 12 + length(regexp_replace(role, control, back, 'g')) END + 7) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id
 """
+OP2 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(CASE WHEN len(w) >= 4 THEN range(1, len(w) - 2) WHEN len(w) > 0 THEN [1] ELSE [] END) AS i FROM d),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i : i + 3], ' ')) AS h FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+m AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (h) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM m JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, top) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b, top FROM r JOIN u ON node = a WHERE top < b)
+SELECT node AS doc_id, coalesce(max(n), 0) AS n_shingles, min(top) AS component_id FROM r LEFT JOIN n ON node = n.doc_id GROUP BY node
+"""
 OP6 = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
@@ -95,4 +106,4 @@ x AS (SELECT r, list(p) AS gone FROM g GROUP BY r),
 k AS (SELECT doc_id, w, coalesce(gone, []) AS gone, list_filter(w, lambda v, j : gone IS NULL OR NOT list_contains(gone, j)) AS kept FROM d LEFT JOIN x USING (r))
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
 """
-ORACLE: dict[str, str] = {"op1_chat_formatting": OP1, "op6_warc": OP6, "op8_substring_dedup": OP8, "op10_quality_rules": quality.ORACLE}
+ORACLE: dict[str, str] = {"op1_chat_formatting": OP1, "op2_ngram_jaccard": OP2, "op6_warc": OP6, "op8_substring_dedup": OP8, "op10_quality_rules": quality.ORACLE}

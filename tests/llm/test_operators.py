@@ -376,14 +376,92 @@ def test_toxicity_lengths():
     assert d.features([])[:7] == [0.0] * 7 and toxicity.fit(samples[:5], [False] * 5) is None
 
 
+@pytest.mark.parametrize("name", ["op1_chat_formatting", "op2_ngram_jaccard", "op6_warc", "op8_substring_dedup", "op10_quality_rules"])
+def test_oracle(spark, name):
+    import duckdb
+
+    from changeloom.llm import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    c = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want, got = c.sql(Q.ORACLE[name]), Q.QUERIES[name](spark, sf)
+    cols = sorted(want.columns)
+    assert cols == sorted(got.columns)
+    assert sorted(str(tuple(r)) for r in got.select(*cols).collect()) == sorted(map(str, want.select(*cols).fetchall()))
+
+
+def test_by_sql_in_part(spark):
+    """Host, path and rule of op9 and the edited text of op5, which SQL can say without the methods."""
+    import duckdb
+
+    from changeloom.llm import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = c.sql("""WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM p)
+SELECT page_id, host, path, CASE WHEN regexp_matches(host, '(^|\\.)example\\.net$') AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN regexp_matches(host, '(^|\\.)example\\.com$') AND starts_with(path, '/de/') THEN 'example.com/de/'
+WHEN regexp_matches(host, '(^|\\.)org$') AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN regexp_matches(host, '(^|\\.)net$') AND starts_with(path, '/') THEN 'net/' END AS rule FROM h""".replace("\\\\", "\\"))
+    assert sorted(want.fetchall()) == sorted(tuple(r)[:4] for r in Q.op9_url_filter(spark, sf).collect())
+    want = c.sql("""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC), first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC)) AS nx FROM documents)
+SELECT doc_id, length(t), sha256(substr(t, 1, length(t) - length(t) // 2) || substr(nx, 1, length(t) // 2)) FROM d""")
+    assert sorted(want.fetchall()) == sorted((r.doc_id, r.n_chars, r.edited_sha256) for r in Q.op5_fingerprints(spark, sf).collect())
+
+
+def _frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):
         pytest.skip("no test tables here")
     import corpus_pipeline as cp
 
-    out = cp.run(spark, sf).collect()
-    assert len(cp.STAGES) == 5 and out and {r.sequence_id for r in out} and all(r.length > 0 for r in out)
+    assert [n for n, _ in cp.STAGES] == ["toxicity", "quality rules", "n-gram Jaccard join", "substring dedup", "packing"]
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    # stage by stage: what each keeps of what the one before kept, and run() as the stages one after the other
+    bad = {r.doc_id for r in toxicity.score_documents(docs, labels, 0.7).where("predicted = 1").collect()}
+    kept = cp.toxic(spark, docs, sf)
+    assert sorted(map(tuple, kept.collect())) == sorted(tuple(r) for r in docs.select(*cp.COLUMNS).collect() if r.doc_id not in bad)
+    good = {r.doc_id for r in quality.judge(kept).where("kept").collect()}
+    judged = cp.rules(spark, kept, sf)
+    assert {r.doc_id for r in judged.collect()} == good
+    single = cp.near_duplicates(spark, judged, sf).collect()
+    comp = {r.doc_id: r.component_id for r in jaccard.link_documents(judged, 5, 80).collect()}
+    assert sorted(r.doc_id for r in single) == sorted(set(comp.values()))
+    once = _frame(spark, [tuple(r) for r in single])
+    cleaned = cp.repeats(spark, once, sf).collect()
+    pieces = cp.packed(spark, _frame(spark, [tuple(r) for r in cleaned]), sf).collect()
+    assert sorted({(p.doc_id, p.start, p.ids_crc32) for p in pieces if p.start == 0}) and {p.doc_id for p in pieces} == {r.doc_id for r in single}
+    total = lambda x: sorted(collections.Counter((p.doc_id, p.doc_tokens) for p in x if p.start == 0).items())
+    assert total(cp.run(spark, sf).collect()) == total(pieces)
+
+
+def test_pipeline_repeats_and_empty(spark):
+    import corpus_pipeline as cp
+
+    rows = [(d, t, "en", "s", 0) for d, t in corpus()] + [(None, corpus()[9][1], None, None, None)]
+    w = [WORD.findall(t or "") for _, t, *_ in rows]
+    seen = collections.Counter(tuple(x[i : i + 35]) for x in w for i in range(len(x) - 34))
+    want = []
+    for (d, *_), x in zip(rows, w, strict=True):
+        gone = {i + j for i in range(len(x) - 34) if seen[tuple(x[i : i + 35])] > 1 for j in range(35)}
+        want.append((d, [v for i, v in enumerate(x) if i not in gone]))
+    got = cp.repeats(spark, _frame(spark, rows), "").collect()
+    assert sorted(((r.doc_id, WORD.findall(r.text)) for r in got), key=str) == sorted(want, key=str) and all(r.n_chars == len(r.text) for r in got)
+    for stage in (cp.rules, cp.near_duplicates, cp.repeats):
+        out = stage(spark, _frame(spark, []), "")
+        assert out.columns == cp.COLUMNS and out.count() == 0
+    assert cp.packed(spark, _frame(spark, []), "").count() == 0
 
 
 def test_pipeline_null_and_repeated_ids(spark):
