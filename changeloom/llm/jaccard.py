@@ -26,7 +26,7 @@ from changeloom.llm.shared import cut
 U64 = np.uint64
 HOT_LEAST, HOT_MOST, GROUP, ROUNDS, BITMAP = 12, 1 << 19, 16, 3, 1024
 SAMPLED = U64(1 << 62)  # tokens below it, a quarter of all, are all counted: prefixes of texts with enough rare tokens hardly reach beyond
-HELD = 1 << 22  # of the others those are counted that repeat among so many tokens of a task, as those of large families do
+HELD = 1 << 20  # of the others those are counted that repeat among so many tokens of a task, as those of large families do
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -209,14 +209,17 @@ def _components_of(base: DataFrame, classes: DataFrame, k: int, percent: int) ->
     sizes = comp.groupBy("comp").agg(F.count("*").alias("c"))
     where = cut(comp.join(sizes, "comp").select("node", "comp", "c", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / GROUP)).alias("bucket")), "where")
     band = F.when(F.col("c") > GROUP, F.floor(F.log("n") * 50) * (1 << 40) + F.col("bucket")).otherwise(0)  # sizes within 2 percent
-    member = classes.select("rep", "n", "prefix", "last").join(where, F.col("rep") == F.col("node"), "left").select("rep", "n", "prefix", "last", F.coalesce("comp", "rep").alias("comp"), F.coalesce("c", F.lit(1)).alias("c"), band.alias("bucket"))
-    tokens = member.select(F.explode("prefix").alias("token"), "rep", "n", "comp", "c", "bucket", "last")
-    several = cut(tokens.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token"), "several")
+    member = classes.select("rep", "n", "last", "prefix").join(where, F.col("rep") == F.col("node"), "left").select("rep", "n", "last", F.coalesce("comp", "rep").alias("comp"), F.coalesce("c", F.lit(1)).alias("c"), band.alias("bucket"), "prefix")
+    several = member.select(F.explode("prefix").alias("token"), "comp").groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+    several = cut(several.where("x < y").select("token"), "several")
+    # tokens travel with no more than whose they are; the rest is joined to those that are left
+    kept = cut(classes.select(F.explode("prefix").alias("token"), "rep", "n").join(several, "token"), "kept")
     # those of its first tokens that no other component has among its own are lost to its pairs with sets whose first tokens go as
     # far in the order (last is where they end): reach is the most that it can share with such a set
     firsts = F.col("n") - F.expr(f"cast(ceil({percent} * n / 100.0) as long)") + 1
-    reach = F.col("n") - F.greatest(firsts - F.count("*").over(Window.partitionBy("rep", "n")), F.lit(0))
-    shared = cut(tokens.join(several, "token").withColumn("reach", reach), "shared")
+    held = kept.groupBy("rep", "n").agg(F.count("*").alias("held"))
+    own = member.drop("prefix").join(held, ["rep", "n"]).withColumn("reach", F.col("n") - F.greatest(firsts - F.col("held"), F.lit(0))).drop("held")
+    shared = cut(kept.join(own, ["rep", "n"]), "shared")
     union = shared.groupBy("token", "comp", "c", "bucket").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("gr"), F.min("last").alias("gl"), F.max("last").alias("gm"))
     group = union.select(F.col("token").alias("t"), F.col("comp").alias("gc"), F.col("c").alias("gn"), F.col("bucket").alias("gb"), "least", "most", "gr", "gl", "gm")
     smaller = F.struct("c", "comp") < F.struct(F.col("gn"), F.col("gc"))
