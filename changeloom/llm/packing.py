@@ -223,6 +223,13 @@ def deal_by_content(docs: DataFrame) -> DataFrame:
 _made: dict[tuple[str, bool], WordTokenizer] = {}
 
 
+def tokenizer(path: str, plain_special: bool = False) -> WordTokenizer:
+    """The tokenizer of a file, made once in each Python worker."""
+    if (path, plain_special) not in _made:
+        _made[path, plain_special] = WordTokenizer(path, plain_special)
+    return _made[path, plain_special]
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, final: int = 1, with_ids: bool = False, plain_special: bool = False) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids where asked for) of all documents.
 
@@ -236,10 +243,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, final: int = 1, with_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        kind = (tokenizer_path, plain_special)
-        if kind not in _made:
-            _made[kind] = WordTokenizer(tokenizer_path, plain_special)
-        tok, seq = _made[kind], 0
+        tok, seq = tokenizer(tokenizer_path, plain_special), 0
         ids, lens, names, tokens = [], [], [], 0
 
         def shard() -> pa.RecordBatch:
