@@ -1,8 +1,8 @@
 """Token ids as Arrow files: rows of equal-length sequences and masks that are read without copying.
 
 A file is in Arrow's IPC file form, the stream of batches closed by a footer that tells where each one lies. A row is one
-sequence of LENGTH ids (a fixed-size list) with its mask (1: an id, 0: padding at the end of a file) and the documents that
-begin in it. All batches of a file but the last have BATCH rows, so sequence i is row i % BATCH of batch i // BATCH, and its ids
+sequence of LENGTH ids (a fixed-size list) with its mask (1: an id, 0: padding at the end of a file; a fixed-size list too, kept once for
+all full sequences as a dictionary's value) and the documents that begin in it. All batches of a file but the last have BATCH rows, so sequence i is row i % BATCH of batch i // BATCH, and its ids
 are a view of the file's memory. Files end between documents. Spark's own committer writes them, to any store it can write:
 the text writer puts a "line end" after each file's only value, and that line end is the closing mark of the format.
 """
@@ -29,18 +29,25 @@ def _fixed(values: np.ndarray, length: int) -> pa.FixedSizeListArray:
     return pa.FixedSizeListArray.from_arrays(pa.array(values), length)
 
 
+def _view(lists: pa.FixedSizeListArray, i: int) -> np.ndarray:
+    n, k = lists.type.list_size, lists.offset + i
+    return lists.values.slice(k * n, n).to_numpy(zero_copy_only=True)
+
+
 def arrow_file(ids: np.ndarray, lengths: np.ndarray, doc_ids: pa.Array, length: int = LENGTH, batch: int = BATCH, place: tuple[int, int] = (0, 0)) -> pa.Buffer:
     """One file of the documents whose ids follow each other in `ids`. place: the range of documents and the number in it, for the order of files."""
     rows = -(-len(ids) // length)
     full = np.zeros(rows * length, ids.dtype)
     full[: len(ids)] = ids
-    mask = (np.arange(rows * length) < len(ids)).astype(np.uint8)
+    masks = (np.arange(2 * length) < length + len(ids) - max(rows - 1, 0) * length).astype(np.uint8)  # of full sequences, and of the last one
+    which = np.zeros(rows, np.int8)
+    which[-1:] = 1
     start = np.cumsum(lengths) - lengths
     row = start // length
     upto = np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)
     begins = pa.ListArray.from_arrays(pa.array(upto), pa.array((start - row * length).astype(np.int32)))
     names = pa.ListArray.from_arrays(pa.array(upto), doc_ids.cast(pa.int64()))
-    table = {"ids": _fixed(full, length), "mask": _fixed(mask, length), "doc_id": names, "begin": begins}
+    table = {"ids": _fixed(full, length), "mask": pa.DictionaryArray.from_arrays(pa.array(which), _fixed(masks, length)), "doc_id": names, "begin": begins}
     schema = pa.schema([(k, v.type) for k, v in table.items()], metadata={"range": str(place[0]), "file": str(place[1])})
     sink = pa.BufferOutputStream()
     with pa.ipc.new_file(sink, schema) as out:
@@ -63,18 +70,17 @@ class Sequences:
     def __len__(self) -> int:
         return self.rows
 
-    def _at(self, i: int, name: str) -> np.ndarray:
+    def _column(self, i: int, name: str) -> pa.Array:
         if not 0 <= i < self.rows:
             raise IndexError(i)
-        column = self.file.get_batch(i // self.batch).column(name)
-        n, k = column.type.list_size, column.offset + i % self.batch
-        return column.values.slice(k * n, n).to_numpy(zero_copy_only=True)
+        return self.file.get_batch(i // self.batch).column(name)
 
     def ids(self, i: int) -> np.ndarray:
-        return self._at(i, "ids")
+        return _view(self._column(i, "ids"), i % self.batch)
 
     def mask(self, i: int) -> np.ndarray:
-        return self._at(i, "mask")
+        column = self._column(i, "mask")
+        return _view(column.dictionary, column.indices[i % self.batch].as_py())
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(doc_id, ids of the file before it, ids) of each document, batch by batch; a document that lies in several batches is put together."""
@@ -83,7 +89,8 @@ class Sequences:
             batch = self.file.get_batch(b)
             ids, mask, names, places = (batch.column(c) for c in ("ids", "mask", "doc_id", "begin"))
             n = ids.type.list_size
-            flat = ids.flatten().to_numpy()[: int(mask.flatten().to_numpy().sum())]
+            held = mask.dictionary.flatten().to_numpy().reshape(-1, n).sum(1)[mask.indices.to_numpy()].sum()
+            flat = ids.flatten().to_numpy()[: int(held)]
             per = np.diff(names.offsets.to_numpy())
             first = np.repeat(np.arange(len(per)), per) * n + places.flatten().to_numpy()
             ends = [0, *first.tolist(), len(flat)]

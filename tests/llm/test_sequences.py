@@ -50,7 +50,8 @@ def test_random_access_copies_nothing(spark, tmp_path):
             a, k = one.ids(i), one.mask(i)
             n = min(32, len(ids) - 32 * i)
             assert a.tolist() == ids[32 * i : 32 * i + n].tolist() + [0] * (32 - n) and k.tolist() == [1] * n + [0] * (32 - n)
-            assert not a.flags.owndata and low <= a.__array_interface__["data"][0] < low + raw.size
+            for view in (a, k):
+                assert not view.flags.owndata and low <= view.__array_interface__["data"][0] < low + raw.size
         assert [(d, s, x.tolist()) for d, s, x in one.documents()] == [(i or None, int(e - n), ids[e - n : e].tolist()) for i, (n, e) in enumerate(zip(size, np.cumsum(size), strict=True))]
         with pytest.raises(IndexError):
             one.ids(len(one))
