@@ -58,6 +58,24 @@ def test_reach(edges: DataFrame, tests: DataFrame, most: int = 8, origins: int =
     return seen
 
 
+def test_paths(edges: DataFrame, tests: DataFrame, most: int = 8) -> DataFrame:
+    """node, depth, path: for each node that a test reaches, a shortest chain of calls from a test to it, both ends included; of equally short ones the least, compared node by node.
+
+    Each level keeps one parent a node, the one whose own chain is least; chains are unrolled level by level, so a node's row is as long as its depth.
+    """
+    e = edges.select("src", "dst").where("src <> dst").distinct()
+    front = settle(tests.select("node").distinct().select("node", F.lit(0).cast("long").alias("depth"), F.array("node").alias("path")), "front")
+    seen = front
+    for d in range(1, most + 1):
+        step = front.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("path").alias("path"))
+        fresh = step.join(seen.select("node"), "node", "left_anti")
+        front = settle(fresh.select("node", F.lit(d).cast("long").alias("depth"), F.concat("path", F.array("node")).alias("path")), "front")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
 def descends(parents: DataFrame) -> DataFrame:
     """child, ancestor for every chain of parents (child, parent), cycles included; each round is a table, and the rounds are as many as the longest chain has doublings."""
     closed = settle(parents.select("child", F.col("parent").alias("ancestor")).where("child <> parent").distinct(), "closed")
