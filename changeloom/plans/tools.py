@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from changeloom.functions import seeded
-from changeloom.operators import credit, graph, includes, numbering
+from changeloom.operators import credit, graph, includes, numbering, resolve
 from changeloom.sinks import store
 from changeloom.sources.tables import read, scratch
 
@@ -58,7 +58,25 @@ def call_chains(spark, d):
     return graph.test_paths(edges, tests, 5).select("node", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), " ").alias("chain"))
 
 
-QUERIES = {f.__name__: f for f in (entry_numbers, decision_credit, seeded_orders, saved_results, compiled_files, call_chains)}
+def resolved_calls(spark, d):
+    """An order as a change: each of its lines is a method of one of five classes in one of three files, and calls a method of another line through a variable of a declared type, bare, by its own type or on a result."""
+    x = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("change_id"), "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q")).distinct()
+    x = numbering.number_rows(x, [F.col("change_id"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("q")], "node")
+    text = lambda prefix, c, n: F.concat(F.lit(prefix), (F.col(c) % n).cast("string"))
+    nodes = x.select("change_id", "node", F.concat(text("d", "l_suppkey", 2), F.lit("/"), text("mod", "l_partkey", 3), F.lit(".py")).alias("path"), F.lit("python").alias("language"), F.when(F.col("q") % 5 == 0, "function").otherwise("method").alias("kind"), text("meth", "l_partkey", 4).alias("name"), F.when(F.col("q") % 5 > 0, text("Type", "l_suppkey", 3)).alias("owner"), (F.col("node") * 10).alias("start"), (F.col("node") * 10 + 5).alias("end"), F.lit(False).alias("test"))
+    form = F.element_at(F.array(*map(F.lit, ["none", "self", "named", "unknown"])), (F.col("q") % 4 + 1).cast("int"))
+    calls = x.select("change_id", "node", form.alias("form"), F.when(F.col("q") % 4 == 2, "v").otherwise("").alias("qualifier"), text("meth", "l_suppkey", 4).alias("name"))
+    # the variable's type is an alias for a class for some, the class itself for others
+    binds = x.select("change_id", "node", F.lit("v").alias("var"), F.when(F.col("q") % 3 == 0, text("Alias", "l_partkey", 3)).otherwise(text("Type", "l_partkey", 3)).alias("type"), F.lit(True).alias("declared"))
+    ids = x.select("change_id").distinct()
+    aliases = ids.select("change_id", F.explode(F.array(*[F.struct(F.lit(f"Alias{i}").alias("alias"), F.lit(f"Type{(i + 1) % 3}").alias("type")) for i in range(3)])).alias("a")).select("change_id", "a.*")
+    parents = ids.where("change_id % 2 = 0").select("change_id", F.explode(F.array(*[F.struct(F.lit(f"Type{i}").alias("child"), F.lit("Type0").alias("parent")) for i in (1, 2)])).alias("p")).select("change_id", "p.*")
+    words = nodes.select("change_id", "path", F.lit(None).cast("long").alias("node"), F.explode(F.array(*[F.lit(f"mod{i}") for i in range(3)])).alias("word"))
+    fields = ids.select("change_id", F.lit("Type9").alias("owner"), F.lit("f").alias("field"), F.lit("Type9").alias("type"))
+    return resolve.resolve_calls(nodes, calls, binds, fields, aliases, parents, words)
+
+
+QUERIES = {f.__name__: f for f in (entry_numbers, decision_credit, seeded_orders, saved_results, compiled_files, call_chains, resolved_calls)}
 
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 _HASH = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform({0}, lambda y: y::UHUGEINT)), lambda h, y: (xor(h, y) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
@@ -90,4 +108,15 @@ g AS (SELECT DISTINCT x.k AS src, y.k AS dst FROM e x JOIN e y ON y.event_id = x
 r AS (SELECT DISTINCT src AS node, 0 AS depth, [src] AS path FROM g WHERE src < 8 UNION ALL
   SELECT dst, depth + 1, list_append(path, dst) FROM (SELECT r.depth, r.path, g.dst, row_number() OVER (PARTITION BY dst ORDER BY path) AS o FROM r JOIN g ON r.node = g.src) WHERE depth < 5 AND o = 1)
 SELECT node, CAST(depth AS BIGINT) AS depth, array_to_string(path, ' ') AS chain FROM r QUALIFY row_number() OVER (PARTITION BY node ORDER BY depth, path) = 1""",
+    "resolved_calls": """WITH x AS (SELECT DISTINCT l_orderkey AS c, l_linenumber AS ln, l_partkey AS p, l_suppkey AS s, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+n AS (SELECT *, row_number() OVER (ORDER BY c, ln, p, s, q) AS id, 'd' || s % 2 AS dir, p % 3 AS mod, 'meth' || p % 4 AS name, CASE WHEN q % 5 > 0 THEN s % 3 END AS own FROM x),
+k AS (SELECT *, 'meth' || s % 4 AS callee, CASE WHEN q % 3 = 0 THEN (p % 3 + 1) % 3 ELSE p % 3 END AS t FROM n),
+j AS (SELECT k.c, k.id AS src, n.id AS dst, k.q % 4 AS form, k.own AS mine, k.t, n.own, n.dir = k.dir AS near, n.dir = k.dir AND n.mod = k.mod AS here FROM k JOIN n ON n.c = k.c AND n.name = k.callee),
+has AS (SELECT DISTINCT c, own FROM n WHERE own IS NOT NULL),
+f AS (SELECT *, CASE form WHEN 0 THEN own IS NULL OR own IS NOT DISTINCT FROM mine WHEN 1 THEN coalesce(own = mine, false) OR NOT coalesce(bool_or(own = mine) OVER (PARTITION BY c, src), false) WHEN 2 THEN own = t ELSE own IS NOT NULL END AS fits FROM j),
+g AS (SELECT *, count(*) OVER (PARTITION BY c, src) AS m FROM f WHERE fits),
+h AS (SELECT * FROM g WHERE form = 2 OR form = 1 AND coalesce(own = mine, false) OR m <= 4),
+a AS (SELECT * FROM h QUALIFY near OR NOT bool_or(near) OVER (PARTITION BY c, src)),
+b AS (SELECT *, count(DISTINCT own) OVER (PARTITION BY c, src) AS owners, min(own) OVER (PARTITION BY c, src) AS least FROM (SELECT * FROM a QUALIFY here OR NOT bool_or(here) OVER (PARTITION BY c, src)))
+SELECT c AS change_id, src, dst FROM b WHERE src <> dst AND (form <> 3 OR owners = 1 OR c % 2 = 0 AND least = 0)""",
 }
