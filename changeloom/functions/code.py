@@ -147,6 +147,19 @@ def first_json(reply: Column) -> Column:
     return F.when(fenced != "", fenced).when(braces != "", braces)
 
 
+def whole_json(reply: Column) -> Column:
+    """The first JSON object of a reply that is complete: from the first brace to the one that closes it, braces in its texts aside; null where none closes. What follows is left out."""
+    tokens = F.regexp_extract_all(F.regexp_extract(reply, r"(\{[\s\S]*)", 1), F.lit(r'"(?:\\[\s\S]|[^"\\])*"|[{}]|[^{}"]+|"'), 0)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+
+    def step(s: Column, t: Column) -> Column:
+        depth = s["depth"] + F.when(t == "{", 1).when(t == "}", -1).otherwise(0)
+        return F.when(s["done"], s).otherwise(F.struct(depth.alias("depth"), (s["n"] + 1).alias("n"), (depth == 0).alias("done")))
+
+    end = F.aggregate(tokens, start, step, lambda s: F.when(s["done"], s["n"]))
+    return F.when(end.isNotNull(), F.array_join(F.slice(tokens, 1, F.coalesce(end, F.lit(0))), ""))
+
+
 def apply_fix(draft: Column, find: Column, replace: Column) -> Column:
     """The draft with the one occurrence of `find` replaced; as it was if there is none or more than one."""
     n = F.when(F.length(find) > 0, (F.length(draft) - F.length(F.replace(draft, find, F.lit("")))) / F.length(find))

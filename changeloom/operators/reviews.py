@@ -1,4 +1,4 @@
-"""Reviews, quizzes and groups of changes.
+"""Reviews, quizzes and groups of changes.
 
 Rows with a null key are a key of their own unless a docstring says otherwise; empty tables give empty results.
 """

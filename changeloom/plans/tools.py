@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from changeloom.functions import code as C
 from changeloom.functions import seeded
 from changeloom.operators import credit, graph, includes, numbering, resolve
 from changeloom.sinks import store
@@ -76,7 +77,15 @@ def resolved_calls(spark, d):
     return resolve.resolve_calls(nodes, calls, binds, fields, aliases, parents, words)
 
 
-QUERIES = {f.__name__: f for f in (entry_numbers, decision_credit, seeded_orders, saved_results, compiled_files, call_chains, resolved_calls)}
+def whole_json(spark, d):
+    """Replies with an object that holds braces in its texts, behind words and before other braces: the object's values."""
+    e = read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), "event_type")
+    reply = F.concat(F.lit("Sure: "), F.lit('{"a": {"k": '), "k", F.lit('}, "t": "} \\"'), "event_type", F.lit('{"} and then {y} ```json {"a": 1}```'))
+    found = e.select("event_id", C.whole_json(reply).alias("j"), C.whole_json(F.concat(F.lit("{"), reply)).alias("open"))
+    return found.select("event_id", F.get_json_object("j", "$.a.k").cast("long").alias("k"), F.get_json_object("j", "$.t").alias("t"), F.col("open").isNull().alias("open"))
+
+
+QUERIES = {f.__name__: f for f in (entry_numbers, decision_credit, seeded_orders, saved_results, compiled_files, call_chains, resolved_calls, whole_json)}
 
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 _HASH = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform({0}, lambda y: y::UHUGEINT)), lambda h, y: (xor(h, y) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
@@ -87,6 +96,7 @@ b{i} AS (SELECT page_id, n, o, CASE WHEN {i} < n THEN xor(s, s // 128) ELSE s EN
 c{i} AS (SELECT page_id, n, o, CASE WHEN {i} < n THEN xor(s, (s * 131072) % 18446744073709551616::UHUGEINT) ELSE s END AS s FROM b{i}),
 z{i} AS (SELECT page_id, n, s, CASE WHEN {i} < n THEN list_transform(range(0, n), lambda k: CASE WHEN k = {i} THEN o[CAST(s % {i + 1} AS BIGINT) + 1] WHEN k = CAST(s % {i + 1} AS BIGINT) THEN o[{i + 1}] ELSE o[k + 1] END) ELSE o END AS o FROM c{i})""" for i in (4, 3, 2, 1))
 ORACLE = {
+    "whole_json": """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '} "' || event_type || '{' AS t, true AS open FROM events""",
     "seeded_orders": f"""WITH p AS (SELECT page_id, coalesce(url, '') AS u, CAST(page_id % 4 + 2 AS BIGINT) AS n FROM pages),
 z5 AS (SELECT page_id, n, range(0, n) AS o, {_HASH.format(_BYTES.format('u'))} AS s FROM p), {_ROUNDS},
 k AS (SELECT page_id, {_HASH.format("list_concat(" + _BYTES.format('u') + ", [255], " + _BYTES.format('CAST(page_id AS VARCHAR)') + ", [255])")} AS h FROM p)

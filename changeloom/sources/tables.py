@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,8 +16,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir (in a temporary one where that is unset)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="spark-"))
+    """A new path in the folder of spark.checkpoint.dir; where that is unset a temporary one, but only if driver and executors are one process."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    at = at or _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="spark-"))
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -4,8 +4,8 @@ import struct
 
 from pyspark.sql import functions as F
 
-from changeloom.functions import seeded
-from changeloom.operators import credit, graph, includes, numbering
+from changeloom.functions import code, seeded
+from changeloom.operators import credit, graph, includes, items, numbering
 from changeloom.operators import events as E
 from changeloom.sinks import store
 from changeloom.sources.tables import scratch
@@ -168,3 +168,18 @@ def test_the_rule_alone():
     assert sessions.kept([e(0, "w"), e(1, "p"), e(2, "x"), e(3, "o")]) == 1
     assert sessions.kept([e(0, "w"), e(2 * h + 1_000_000, "p"), e(2 * h + 2_000_000, "w")]) == 3
     assert sessions.kept([e(0, "w"), e(2 * h, "p")]) == 2 and sessions.kept([e(0, "w"), e(2 * h + 1_000_000, "p")]) == 1
+
+
+def test_whole_json(spark):
+    cases = {'{"x": 1} and then {y}': '{"x": 1}', 'a {"s": "}\\"{", "t": {"u": {}}} b }': '{"s": "}\\"{", "t": {"u": {}}}', "{": None, "": None, "no": None, '{"a': None, "{}{": "{}", None: None}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {x.t: x.j for x in df.select("t", code.whole_json(F.col("t")).alias("j")).collect()} == cases
+
+
+def test_items_of_languages(spark):
+    src = {"c": "int add(int a, char *b)\n{\n  return a;\n}\n", "go": "func (s *S) Get(n int) {\n}\nfunc init() {\n}\n", "rust": "#[test]\nfn seen() {\n}\nfn hidden() {\n}\n", "python": "def f(a):\n    '''x\ny = 1\n'''\n    return a\nz = 2\n"}
+    got = {k: [(x.kind, x.name, x.start, x.end, [p.name for p in x.params], x.exported) for x in items.items(spark.createDataFrame([(1, f"f.{k}", k, s)], "change_id long, path string, language string, source string")).orderBy("idx").collect()] for k, s in src.items()}
+    assert got["c"] == [("function", "add", 1, 4, ["a", "b"], True)]
+    assert got["go"] == [("function", "Get", 1, 2, ["n"], True), ("function", "init", 3, 4, [], True)]
+    assert got["rust"] == [("function", "seen", 1, 3, [], True), ("function", "hidden", 4, 5, [], False)]
+    assert got["python"] == [("function", "f", 1, 5, ["a"], True), ("variable", "z", 6, 6, [], True)]
