@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from changeloom.functions import arguments, lexer
+from changeloom.functions import arguments, lexer, references
 from changeloom.functions import signatures as S
 from changeloom.operators import impacts
 
@@ -207,7 +207,7 @@ def test_what_still_fits(spark):
 
 
 def test_impacts(spark):
-    src = {"lib/f.py": "def f(a, b):\n    return f(1)\n", "lib/x/u.py": "f(1, 2)\ny.f(1,\n  2)\nf(*a)\n'f(9)' # f(8)\n", "far/f.py": "def f(q):\n    pass\n", "far/v.py": "f(1, 2)\n", "a.js": "g(1)\ng()\n", "b.js": "h(1)"}
+    src = {"lib/f.py": "def f(a, b):\n    return f(1)\n", "lib/x/u.py": "f(1, 2)\nf.f(1,\n  2)\nf(*a)\ny.f(3)\n'f(9)' # f(8)\n", "far/f.py": "def f(q):\n    pass\n", "far/v.py": "f(1, 2)\n", "a.js": "g(1)\ng()\n", "b.js": "h(1)"}
     files = spark.createDataFrame([(1, p, "python" if p.endswith("py") else "typescript", s) for p, s in src.items()] + [(2, "n.py", "python", None)], "change_id long, path string, language string, source string")
     calls = impacts.call_table(files, ["change_id", "path"])
     one = lambda *ns: [(n, None, False) for n in ns]
@@ -216,7 +216,23 @@ def test_impacts(spark):
     definitions = spark.createDataFrame([(1, "lib/f.py", "f"), (1, "far/f.py", "f"), (1, "lib/g.js", "g"), (1, "c.js", "h")], "change_id long, path string, name string")
     added = spark.createDataFrame([(1, "lib/x/u.py", 3)], "change_id long, path string, line long")
     got = {(r.path, r.line): r.updated for r in impacts.call_impacts(changed, calls, definitions, added).collect()}
-    # the far file's call is its neighbour's; a line of y.f's call was added; plain JavaScript may leave an argument out; h is private
+    # the far file's call is its neighbour's; a line of f.f's call was added, y.f is not the module's; plain JavaScript may leave an argument out; h is private
     assert got == {("lib/f.py", 2): False, ("lib/x/u.py", 1): False, ("lib/x/u.py", 2): True, ("lib/x/u.py", 4): False, ("a.js", 1): True, ("a.js", 2): True}
     none = impacts.call_impacts(changed.limit(0), calls, definitions)
     assert none.count() == 0 and impacts.stale(none).columns == ["change_id", "def_path", "name", "n_calls", "n_stale"]
+
+
+def test_what_a_name_may_mean(spark):
+    lit = lambda x: F.lit(x).cast("string")
+    calls = [("", "f", "a/m.py", "b.py", False, True), ("m", "f", "a/m.py", "b.py", False, True), ("x", "f", "a/m.py", "b.py", False, False), ("a", "f", "a/index.ts", "b.ts", False, True), ("super", "T.f", "m.py", "m.py", False, False), ("x", "T.f", "m.py", "m.py", False, True), ("x", "T.f", "m.py", "b.py", False, False), ("x", "T.outer_sep", "m.py", "b.py", True, True), ("T", "T.f", "m.py", "b.py", False, True), ("U", "T.f", "m.py", "m.py", False, False), ("self", "T.f", "m.py", "b.py", False, False), ("self", "T::f", "m.rs", "m.rs", False, True), ("crate", "f", "m.rs", "b.rs", False, True), ("$t", "T::f", "m.rs", "m.rs", False, False)]
+    row = spark.range(1).select(*[references.qualifier_ok(lit(q), lit(n), lit(d), lit(c), F.lit(u)).alias(f"c{i}") for i, (q, n, d, c, u, _) in enumerate(calls)]).first()
+    assert [x for x, c in zip(row, calls, strict=True) if x != c[-1]] == [] and list(row) == [c[-1] for c in calls]
+    gone = [("", "f", "a/m.py", False, True), ("a", "f", "a/m.py", False, True), ("line", "split", "a/m.py", False, False), ("", "T.f", "m.py", False, False), ("t", "T.f", "m.py", False, True), ("cls", "T.f", "m.py", False, True), ("w", "T.getOut", "m.py", True, True), ("W", "T.getOut", "m.py", True, False)]
+    row = spark.range(1).select(*[references.reference_ok(lit(q), lit(n), lit(o), F.lit(u)).alias(f"c{i}") for i, (q, n, o, u, _) in enumerate(gone)]).first()
+    assert list(row) == [g[-1] for g in gone]
+    reach = [("a/x.go", "a/y.go", True), ("a/x.go", "b/y.go", False), ("a/x.rs", "a/b/y.rs", True), ("a/x.rs", "ab/y.rs", False), ("x.ts", "x.ts", True), ("x.ts", "y.ts", False), ("x.rs", "q/y.rs", True)]
+    row = spark.range(1).select(*[references.private_reaches(lit(d), lit(c)).alias(f"c{i}") for i, (d, c, _) in enumerate(reach)]).first()
+    assert list(row) == [x[-1] for x in reach]
+    lines = [("fn f(x) {", "f", True), ("  f(x);", "f", False), ("class f:", "f", True), ("func (r *T) f() {", "f", True), ("static int f(int a) {", "f", True), ("if f(x) {", "f", False), ("return f(x)", "f", False), ("// fn f(", "f", False), ("def self.f", "f", True), ("x.f() {", "f", False), ("let f = 1", "f", True), ("fn g(", "f", False), ("val a$b = 1", "a$b", True)]
+    df = spark.createDataFrame([(i, t, n) for i, (t, n, _) in enumerate(lines)], "i int, t string, n string")
+    assert dict(df.select("i", references.defines(F.col("t"), F.col("n"))).collect()) == {i: x[-1] for i, x in enumerate(lines)}
