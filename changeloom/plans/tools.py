@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from changeloom.functions import code as C
-from changeloom.functions import seeded
-from changeloom.operators import credit, graph, includes, numbering, resolve
+from changeloom.functions import lexer, seeded
+from changeloom.operators import credit, enrich, graph, includes, numbering, resolve
 from changeloom.sinks import store
 from changeloom.sources.tables import read, scratch
 
@@ -85,7 +85,26 @@ def whole_json(spark, d):
     return found.select("event_id", F.get_json_object("j", "$.a.k").cast("long").alias("k"), F.get_json_object("j", "$.t").alias("t"), F.col("open").isNull().alias("open"))
 
 
-QUERIES = {f.__name__: f for f in (entry_numbers, decision_credit, seeded_orders, saved_results, compiled_files, call_chains, resolved_calls, whole_json)}
+USES = ["fnN(x)", "obj.fnN(x)", "mod.fnN(x)", '"fnN" # fnN']
+
+
+def repo_references(spark, d):
+    """Orders as a repository's files, with a use of a name for each of their lines; every seventh name vanished in one change, and those that a file still defines are nobody's."""
+    x = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    use = F.replace(F.element_at(F.array(*map(F.lit, USES)), (F.col("l_partkey") % 4 + 1).cast("int")), F.lit("N"), (F.col("l_suppkey") % 97).cast("string"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", use.alias("u")))), lambda y: y["u"]), "\n")
+    path = F.concat(F.when(F.col("l_orderkey") % 5 == 0, "docs/f").otherwise("src/f"), F.col("l_orderkey").cast("string"), F.when(F.col("l_orderkey") % 5 == 0, ".md").otherwise(".py"))
+    files = x.groupBy("l_orderkey").agg(text.alias("source")).select(path.alias("path"), "source")
+    defined = x.where("l_suppkey % 97 % 10 = 3").select(F.lit("src/defs.py").alias("path"), F.concat(F.lit("def fn"), (F.col("l_suppkey") % 97).cast("string"), F.lit("(a):")).alias("source")).distinct()
+    files = files.unionByName(defined.groupBy("path").agg(F.array_join(F.sort_array(F.collect_list("source")), "\n").alias("source"))).withColumn("language", F.lit("python"))
+    lines = lexer.line_facts(files, ["path"]).select(F.lit("r").alias("repo"), "path", F.col("line_no").alias("line"), "code", F.col("line").alias("text"))
+    n = x.select((F.col("l_suppkey") % 97).alias("n")).distinct()
+    vanished = n.select((F.col("n") % 7).cast("long").alias("change_id"), F.lit("r").alias("repo"), F.concat(F.lit("fn"), F.col("n").cast("string")).alias("name"), F.lit("lib/mod.py").alias("origin"), F.lit(True).alias("exported"))
+    changed = x.where("l_orderkey % 3 = 0").select(F.lit(1).cast("long").alias("change_id"), path.alias("path")).distinct()
+    return enrich.repo_references(vanished, changed, lines).select("change_id", "name", "path", "line")
+
+
+QUERIES = {f.__name__: f for f in (entry_numbers, decision_credit, seeded_orders, saved_results, compiled_files, call_chains, resolved_calls, whole_json, repo_references)}
 
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 _HASH = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform({0}, lambda y: y::UHUGEINT)), lambda h, y: (xor(h, y) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
@@ -96,6 +115,9 @@ b{i} AS (SELECT page_id, n, o, CASE WHEN {i} < n THEN xor(s, s // 128) ELSE s EN
 c{i} AS (SELECT page_id, n, o, CASE WHEN {i} < n THEN xor(s, (s * 131072) % 18446744073709551616::UHUGEINT) ELSE s END AS s FROM b{i}),
 z{i} AS (SELECT page_id, n, s, CASE WHEN {i} < n THEN list_transform(range(0, n), lambda k: CASE WHEN k = {i} THEN o[CAST(s % {i + 1} AS BIGINT) + 1] WHEN k = CAST(s % {i + 1} AS BIGINT) THEN o[{i + 1}] ELSE o[k + 1] END) ELSE o END AS o FROM c{i})""" for i in (4, 3, 2, 1))
 ORACLE = {
+    "repo_references": """WITH x AS (SELECT l_orderkey AS o, l_partkey % 4 AS t, l_suppkey % 97 AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS line FROM lineitem),
+u AS (SELECT n % 7 AS c, 'fn' || n AS name, 'src/f' || o || '.py' AS path, line FROM x WHERE o % 5 <> 0 AND t IN (0, 2) AND n % 10 <> 3 AND NOT (n % 7 = 1 AND o % 3 = 0))
+SELECT CAST(c AS BIGINT) AS change_id, name, path, line FROM u QUALIFY row_number() OVER (PARTITION BY name ORDER BY path, line) <= 10""",
     "whole_json": """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '} "' || event_type || '{' AS t, true AS open FROM events""",
     "seeded_orders": f"""WITH p AS (SELECT page_id, coalesce(url, '') AS u, CAST(page_id % 4 + 2 AS BIGINT) AS n FROM pages),
 z5 AS (SELECT page_id, n, range(0, n) AS o, {_HASH.format(_BYTES.format('u'))} AS s FROM p), {_ROUNDS},

@@ -5,7 +5,7 @@ import struct
 from pyspark.sql import functions as F
 
 from changeloom.functions import code, seeded
-from changeloom.operators import credit, graph, includes, items, numbering
+from changeloom.operators import credit, enrich, graph, includes, items, numbering
 from changeloom.operators import events as E
 from changeloom.sinks import store
 from changeloom.sources.tables import scratch
@@ -183,3 +183,13 @@ def test_items_of_languages(spark):
     assert got["go"] == [("function", "Get", 1, 2, ["n"], True), ("function", "init", 3, 4, [], True)]
     assert got["rust"] == [("function", "seen", 1, 3, [], True), ("function", "hidden", 4, 5, [], False)]
     assert got["python"] == [("function", "f", 1, 5, ["a"], True), ("variable", "z", 6, 6, [], True)]
+
+
+def test_repo_references(spark):
+    lines = [("a.py", 1, "f(1) + g(2)"), ("a.py", 2, "x.f(1)"), ("b.go", 1, "mod.f(1)"), ("c.md", 1, "f()"), ("vendor/d.js", 1, "f()"), ("e.py", 1, "def g():"), ("own.py", 1, "f(3)"), ("k/p.py", 1, "h()"), ("lib/p.py", 1, "h()"), ("m.py", 1, "w.getOut() + v.run() + self.run()"), ("n.py", 1, "xf(1) f2(1) $f"), ("q.py", 1, None)] + [(f"z{i:02}.py", 1, "  many()") for i in range(20)]
+    repo = spark.createDataFrame([("r", p, n, c, c) for p, n, c in lines] + [("other", "a.py", 1, "f()", "f()")], "repo string, path string, line int, code string, text string")
+    gone = spark.createDataFrame([(1, "r", n, "lib/mod.py", e) for n, e in [("f", True), ("g", True), ("h", False), ("T.getOut", True), ("T.run", True), ("many", True), ("f", True)]], "change_id int, repo string, name string, origin string, exported boolean")
+    changed = spark.createDataFrame([(1, "own.py"), (2, "a.py")], "change_id int, path string")
+    got = sorted((x.name, x.path, x.line) for x in enrich.repo_references(gone, changed, repo).collect())
+    assert got == [("T.getOut", "m.py", 1), ("f", "a.py", 1), ("f", "b.go", 1), ("h", "lib/p.py", 1)] + [("many", f"z{i:02}.py", 1) for i in range(10)]
+    assert enrich.repo_references(gone.limit(0), changed, repo).count() == 0
