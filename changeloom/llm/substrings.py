@@ -206,7 +206,8 @@ def repeated_spans(rows: DataFrame, span: int) -> DataFrame:
     hot = hot.join(often, F.col("window") == F.col("again"), "left_semi").groupBy("anchor", "ctx").agg(F.array_sort(F.collect_list("x")).alias("s"))
     repeats = cut(cold.unionByName(hot.select("anchor", "ctx", "s", F.transform("s", lambda x: x + 1).alias("e"))), "repeats")
     spans = found.join(repeats, ["anchor", "ctx"]).select("id", "th", F.transform(F.arrays_zip("s", "e"), lambda r: F.struct((r["s"] + F.col("a")).alias("s"), (r["e"] + F.col("a") + span - 1).alias("e"))).alias("spans"))
-    return cut(spans.groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    # rows that are equal have equal spans, which a set keeps once, however many rows there are
+    return cut(spans.groupBy("id", "th").agg(F.flatten(F.collect_set("spans")).alias("spans")), "spans")
 
 
 def remove_repeats(docs: DataFrame, span: int = 35, with_text: bool = False, keep: list[str] | None = None) -> DataFrame:

@@ -519,3 +519,12 @@ def test_pipeline_small_domains(spark):
     rows = [(i, "x" if i < 18 else clean(i), "en", "small" if i < 19 else f"good{i % 3}", 0) for i in range(49)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in cp.rules(spark, df, "").collect()) == list(range(19, 49))
+
+
+def test_substrings_of_many_equal_rows(spark):
+    """Time and memory must not grow with the square of the copies: 20,000 rows of one text, and one that shares a passage with them."""
+    words = [f"w{i}" for i in range(60)]
+    copies = spark.range(20000).selectExpr("7L AS doc_id", f"'{' '.join(words)}' AS text")
+    other = spark.createDataFrame([(8, " ".join(words[:40] + ["new"] * 30))], "doc_id long, text string")
+    got = {r.doc_id: r for r in substrings.remove_repeats(copies.unionByName(other)).groupBy("doc_id", "n_words", "n_removed").count().collect()}
+    assert (got[7].n_words, got[7].n_removed, got[7]["count"]) == (60, 60, 20000) and (got[8].n_words, got[8].n_removed, got[8]["count"]) == (70, 40, 1)
