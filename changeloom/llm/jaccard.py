@@ -8,6 +8,9 @@ The tokens of a set are ordered with frequent tokens last. If two sets qualify,
 n - ceil(t n) + 1 tokens of each have one in common, whatever the order, so these stand for the set in the matrix.
 Classes that cheap rounds have already linked make up one group's worth of work: a token whose documents
 are all in one component opens nothing.
+
+Near copies that do not qualify share nearly all tokens, so tokens tell them apart badly. Those that resemble one head make up
+a family and are compared by where they differ from it (`_within`); the matrix leaves out pairs of one family.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from changeloom.llm.shared import cut
 
 U64 = np.uint64
 HOT_LEAST, HOT_MOST, GROUP, ROUNDS, BITMAP = 12, 1 << 19, 16, 3, 1024
+FAMILY = 50  # percent of likeness to a head from which a class may be one of its family
 SAMPLED = U64(1 << 62)  # tokens below it, a quarter of all, are all counted: prefixes of texts with enough rare tokens hardly reach beyond
 HELD = 1 << 20  # of the others those are counted that repeat among so many tokens of a task, as those of large families do
 
@@ -94,11 +98,6 @@ def hot_tokens(docs: DataFrame, k: int) -> np.ndarray:
     return np.sort(counts.where(F.col("bin") >= least).select("token").toArrow()["token"].to_numpy().view(U64))
 
 
-def _overlap(a: Column, b: Column, na: Column, nb: Column, percent: int) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return 100 * both >= percent * (na + nb - both)
-
-
 def link_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id of documents (doc_id, text): sets of k-word shingles link when 100 x intersection >= percent x union.
 
@@ -164,7 +163,7 @@ def _full_sets(base: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, na, b, nb, ...) that qualify, by their whole sets; those that the bitmaps rule out never meet."""
+    """The pairs (a, na, b, nb, ...) that qualify, by their whole sets, with how many tokens are in both; those that the bitmaps rule out never meet."""
     side = lambda x: full.select(F.col("id").alias(x), F.col("size").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
     differ = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     most = (F.col("na") + F.col("nb") - differ) / 2
@@ -172,8 +171,8 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     pairs = cut(pairs.distinct(), "near")
     left = full.select(F.col("id").alias("a"), F.col("size").alias("na"), F.col("tokens").alias("ta"))
     right = full.select(F.col("id").alias("b"), F.col("size").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, ["a", "na"]).join(right, ["b", "nb"])
-    return both.where(_overlap(F.col("ta"), F.col("tb"), F.col("na"), F.col("nb"), percent)).drop("ta", "tb")
+    both = pairs.join(left, ["a", "na"]).join(right, ["b", "nb"]).withColumn("both", F.size(F.array_intersect("ta", "tb")).cast("long")).drop("ta", "tb")
+    return both.where(_reaches(F.col("both"), F.col("na"), F.col("nb"), percent))
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -193,6 +192,57 @@ def _reaches(most: Column, a: Column, b: Column, percent: int) -> Column:
     return (100 + percent) * most >= percent * (a + b)
 
 
+def _families(near: DataFrame, full: DataFrame, level: int) -> DataFrame:
+    """rep, size, head, width, both: one head for each class of the pairs (a, na, b, nb, both) of classes and heads, that with most of them.
+
+    A class whose head has a larger one itself goes over to that if it resembles it. An id with several sets has no family.
+    """
+    single = full.groupBy("id").agg(F.count("*").alias("c")).where("c = 1").select("id")
+    near = cut(near.select("a", "na", "b", "nb", "both").join(single, F.col("a") == F.col("id"), "left_semi").join(single, F.col("b") == F.col("id"), "left_semi"), "like")
+    heads = near.groupBy("b", "nb").agg(F.count("*").alias("m"))
+    to = near.join(heads, ["b", "nb"]).select("a", "na", "b", "nb", "both", "m").union(heads.select("b", "nb", "b", "nb", "nb", "m"))
+    to = cut(to.groupBy("a", "na").agg(F.max(F.struct("m", "b", "nb", "both")).alias("f")).select("a", "na", "f.b", "f.nb", "f.both"), "heads")
+    over = to.select(F.col("a").alias("h"), F.col("b").alias("q"), F.col("nb").alias("nq")).where("h <> q")
+    moved = to.select("a", "na", F.col("b").alias("h")).join(over, "h").where("a <> q").select("a", "na", F.col("q").alias("b"), F.col("nq").alias("nb"))
+    moved = _verified(moved, full, level).select("a", F.struct("b", "nb", "both").alias("new"))
+    f = F.coalesce("new", F.struct("b", "nb", "both"))
+    return cut(to.join(moved, "a", "left").select("a", "na", f.alias("f")).select(F.col("a").alias("rep"), F.col("na").alias("size"), F.col("f.b").alias("head"), F.col("f.nb").alias("width"), F.col("f.both").alias("both")), "families")
+
+
+def _within(family: DataFrame, comp: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that join the components (node, comp) of each family wherever pairs of it qualify.
+
+    Let d be what a set has and its head lacks, or the other way round. Two sets of x common entries of d share
+    (na + nb - |da| - |db|) / 2 + x tokens, so they qualify if gain a + gain b + 2 (100 + percent) x >= 0, with
+    gain = (100 + percent) (n - |d|) - 2 percent n. If two need no x, neither needs one with the set of largest gain: all such
+    are linked with that one. Others meet by entries in an order with frequent ones last; room is how many entries
+    from this one on other components have too, so the first common entry tells how large x may be.
+    """
+    tokens = lambda x, n, t: full.select(F.col("id").alias(x), F.col("size").alias(n), F.col("tokens").alias(t))
+    gain = (100 + percent) * (2 * F.col("both") - F.col("width")) - 2 * percent * F.col("size")
+    who = family.withColumn("gain", gain).join(comp, F.col("rep") == F.col("node"), "left").select("rep", "size", "head", "width", "gain", F.coalesce("comp", "rep").alias("comp"))
+    who = cut(who, "who")
+    best = who.groupBy("head").agg(F.max(F.struct("gain", "rep")).alias("m"))
+    sure = who.join(best, "head").where((F.col("gain") + F.col("m.gain") >= 0) & (F.col("rep") != F.col("m.rep"))).select(F.col("rep").alias("a"), F.col("m.rep").alias("b"))
+    # the largest gain of another component, for each component of a family
+    tops = who.groupBy("head", "comp").agg(F.max("gain").alias("top"))
+    first = tops.groupBy("head").agg(F.max(F.struct("top", "comp")).alias("f"))
+    second = tops.join(first, "head").where(F.col("comp") != F.col("f.comp")).groupBy("head", "f").agg(F.max("top").alias("second"))
+    open_ = who.join(second, "head").select("rep", "size", "head", "width", "gain", "comp", F.when(F.col("comp") == F.col("f.comp"), F.col("second")).otherwise(F.col("f.top")).alias("top"))
+    both = open_.join(tokens("rep", "size", "t"), ["rep", "size"]).join(tokens("head", "width", "h"), ["head", "width"])
+    entries = both.select("rep", "size", "head", "gain", "comp", "top", F.explode(F.concat(F.array_except("t", "h"), F.array_except("h", "t"))).alias("entry"))
+    entries = cut(entries, "entries")
+    known = entries.groupBy("head", "entry").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("head", "entry", "c")
+    room = F.row_number().over(Window.partitionBy("head", "rep").orderBy(F.desc("c"), F.desc("entry")))
+    reach = lambda x: 2 * (100 + percent) * x
+    entries = entries.join(known, ["head", "entry"]).withColumn("room", room).where(reach(F.col("room")) + F.col("gain") + F.col("top") >= 0)
+    entries = cut(entries.select("rep", "size", "head", "gain", "comp", "entry", "room"), "rooms")
+    other = entries.withColumnsRenamed({"rep": "b", "size": "nb", "head": "h", "gain": "gb", "comp": "cb", "entry": "e", "room": "rb"})
+    fits = (F.col("comp") < F.col("cb")) & (reach(F.least("room", "rb")) + F.col("gain") + F.col("gb") >= 0)
+    pairs = entries.join(other, (F.col("head") == F.col("h")) & (F.col("entry") == F.col("e")) & fits).select(F.col("rep").alias("a"), F.col("size").alias("na"), "b", "nb")
+    return sure.union(_verified(cut(pairs.distinct(), "inner"), full, percent).select("a", "b"))
+
+
 def _components_of(base: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """node, comp of the classes that have links."""
     # cheap rounds: those that share a least hash are each compared with the first of them
@@ -202,50 +252,55 @@ def _components_of(base: DataFrame, classes: DataFrame, k: int, percent: int) ->
     stars = cut(stars.where(_sizes_fit(F.col("na"), F.col("nb"), percent)).distinct(), "stars")
     ids = lambda p: p.select(F.explode(F.array("a", "b")).alias("want")).distinct()
     full = _full_sets(base, cut(ids(stars), "ids"), k)
-    one = cut(_verified(stars, full, percent).select("a", "b"), "links")
+    level = min(FAMILY, percent)
+    near = cut(_verified(stars, full, level), "alike")
+    family = _families(near, full, level)
+    one = near.where(_reaches(F.col("both"), F.col("na"), F.col("nb"), percent)).select("a", "b")
+    one = cut(one.union(_within(family, components(one), full, percent)), "links")
     comp = cut(components(one), "comp")
 
     # the matrix: tokens of those that must share one, by group; tokens within one component open nothing
     sizes = comp.groupBy("comp").agg(F.count("*").alias("c"))
     where = cut(comp.join(sizes, "comp").select("node", "comp", "c", F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / GROUP)).alias("bucket")), "where")
     band = F.when(F.col("c") > GROUP, F.floor(F.log("n") * 50) * (1 << 40) + F.col("bucket")).otherwise(0)  # sizes within 2 percent
-    member = classes.select("rep", "n", "last", "prefix").join(where, F.col("rep") == F.col("node"), "left").select("rep", "n", "last", F.coalesce("comp", "rep").alias("comp"), F.coalesce("c", F.lit(1)).alias("c"), band.alias("bucket"), "prefix")
-    several = member.select(F.explode("prefix").alias("token"), "comp").groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-    several = cut(several.where("x < y").select("token"), "several")
+    member = classes.select("rep", "n", "last", "prefix").join(where, F.col("rep") == F.col("node"), "left").join(family.select("rep", "head"), "rep", "left")
+    member = member.select("rep", "n", "last", F.coalesce("comp", "rep").alias("comp"), F.coalesce("c", F.lit(1)).alias("c"), band.alias("bucket"), F.coalesce("head", "rep").alias("head"), "prefix")
+    several = member.select(F.explode("prefix").alias("token"), "comp", "head").groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("head").alias("u"), F.max("head").alias("v"))
+    several = cut(several.where("x < y and u < v").select("token"), "several")
     # tokens travel with no more than whose they are; the rest is joined to those that are left
     kept = cut(classes.select(F.explode("prefix").alias("token"), "rep", "n").join(several, "token"), "kept")
-    # those of its first tokens that no other component has among its own are lost to its pairs with sets whose first tokens go as
+    # those of its first tokens that no other component and family has among its own are lost to its pairs with sets whose first tokens go as
     # far in the order (last is where they end): reach is the most that it can share with such a set
     firsts = F.col("n") - F.expr(f"cast(ceil({percent} * n / 100.0) as long)") + 1
     held = kept.groupBy("rep", "n").agg(F.count("*").alias("held"))
     own = member.drop("prefix").join(held, ["rep", "n"]).withColumn("reach", F.col("n") - F.greatest(firsts - F.col("held"), F.lit(0))).drop("held")
     shared = cut(kept.join(own, ["rep", "n"]), "shared")
-    union = shared.groupBy("token", "comp", "c", "bucket").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("gr"), F.min("last").alias("gl"), F.max("last").alias("gm"))
-    group = union.select(F.col("token").alias("t"), F.col("comp").alias("gc"), F.col("c").alias("gn"), F.col("bucket").alias("gb"), "least", "most", "gr", "gl", "gm")
-    smaller = F.struct("c", "comp") < F.struct(F.col("gn"), F.col("gc"))
+    union = shared.groupBy("token", "comp", "c", "bucket", "head").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("gr"), F.min("last").alias("gl"), F.max("last").alias("gm"))
+    group = union.select(F.col("token").alias("t"), F.col("comp").alias("gc"), F.col("c").alias("gn"), F.col("bucket").alias("gb"), F.col("head").alias("gh"), "least", "most", "gr", "gl", "gm")
+    smaller = (F.struct("c", "comp") < F.struct(F.col("gn"), F.col("gc"))) & (F.col("head") != F.col("gh"))
     fits = (percent * F.col("n") <= 100 * F.col("most")) & (percent * F.col("least") <= 100 * F.col("n"))
     # the bound: how many of its first n - ceil(t n) + 1 tokens a query has in a group's union
     reaches = (F.col("last") <= F.col("gm")) & _reaches(F.col("reach"), F.col("n"), F.col("least"), percent) | (F.col("gl") <= F.col("last")) & _reaches(F.col("gr"), F.col("n"), F.col("least"), percent)
-    met = shared.join(group, (F.col("token") == F.col("t")) & smaller & fits & reaches).groupBy("rep", "n", "reach", "last", "comp", "gc", "gb").agg(F.count("*").alias("met"), F.min("least").alias("least"), F.max("most").alias("most"))
+    met = shared.join(group, (F.col("token") == F.col("t")) & smaller & fits & reaches).groupBy("rep", "n", "reach", "last", "comp", "gc", "gb", "gh").agg(F.count("*").alias("met"), F.min("least").alias("least"), F.max("most").alias("most"))
     low, high = F.greatest("least", F.expr(f"cast(ceil({percent} * n / 100.0) as long)")), F.least("most", F.expr(f"cast(floor(100 * n / {percent}.0) as long)"))
-    opened = cut(met.where(_enough(F.col("met"), F.col("n"), low, percent) | _enough(F.col("met"), F.col("n"), high, percent)).select("rep", "n", "reach", "last", "comp", "gc", "gb"), "opened")
+    opened = cut(met.where(_enough(F.col("met"), F.col("n"), low, percent) | _enough(F.col("met"), F.col("n"), high, percent)).select("rep", "n", "reach", "last", "comp", "gc", "gb", "gh"), "opened")
     # a group is opened at its head first; the rest meet only those whose component that did not join
-    place = F.row_number().over(Window.partitionBy("gc", "gb").orderBy("b", "nb"))
-    inside = shared.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("reach").alias("rb"), F.col("last").alias("lb"), F.col("comp").alias("gc"), F.col("bucket").alias("gb")).distinct()
-    inside = cut(inside.withColumn("head", place == 1), "inside")
+    place = F.row_number().over(Window.partitionBy("gc", "gb", "gh").orderBy("b", "nb"))
+    inside = shared.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("reach").alias("rb"), F.col("last").alias("lb"), F.col("comp").alias("gc"), F.col("bucket").alias("gb"), F.col("head").alias("gh")).distinct()
+    inside = cut(inside.withColumn("first", place == 1), "inside")
 
     def joins(opened: DataFrame, members: DataFrame) -> DataFrame:
         reaches = _reaches(F.when(F.col("last") < F.col("lb"), F.col("reach")).when(F.col("lb") < F.col("last"), F.col("rb")).otherwise(F.greatest("reach", "rb")), F.col("na"), F.col("nb"), percent)
-        pairs = opened.select(F.col("rep").alias("a"), F.col("n").alias("na"), "reach", "last", "comp", "gc", "gb").join(members.drop("head"), ["gc", "gb"]).where(_sizes_fit(F.col("na"), F.col("nb"), percent) & reaches)
+        pairs = opened.select(F.col("rep").alias("a"), F.col("n").alias("na"), "reach", "last", "comp", "gc", "gb", "gh").join(members.drop("first"), ["gc", "gb", "gh"]).where(_sizes_fit(F.col("na"), F.col("nb"), percent) & reaches)
         pairs = cut(pairs.select("a", "na", "b", "nb", "comp", "gc"), "pairs")
         found = _verified(pairs, _full_sets(base, cut(ids(pairs), "ids"), k), percent)
         return cut(found.select(F.col("comp").alias("a"), F.col("gc").alias("b")).distinct(), "joins")
 
-    by_head = joins(opened, inside.where("head"))
+    by_head = joins(opened, inside.where("first"))
     label = components(by_head)
     of = lambda x: label.select(F.col("node").alias(x), F.col("comp").alias(f"new_{x}"))
     apart = opened.join(of("comp"), "comp", "left").join(of("gc"), "gc", "left").where(F.coalesce("new_comp", "comp") != F.coalesce("new_gc", "gc"))
-    by_rest = joins(apart, inside.where("not head"))
+    by_rest = joins(apart, inside.where("not first"))
     joined = components(by_head.union(by_rest)).withColumnsRenamed({"node": "old", "comp": "new"})
     both = comp.unionByName(joined.select(F.col("old").alias("node"), F.col("old").alias("comp"))).distinct()
     return both.join(joined, F.col("comp") == F.col("old"), "left").groupBy("node").agg(F.min(F.coalesce("new", "comp")).alias("comp"))

@@ -63,6 +63,40 @@ def test_jaccard_brute_force(spark, docs, none):
     assert jaccard.link_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("k, pc", [(5, 80), (4, 85)])  # as the pipeline has it, as op2 has it
+def test_jaccard_family_of_near_copies(spark, monkeypatch, k, pc):
+    """Near copies of one text, most of which do not qualify: right components, and pairs that are opened do not grow with the square of their number."""
+    r = random.Random(3)
+    base = [f"b{i}" for i in range(140)]
+
+    def copy(i, edits):
+        w = list(base)
+        for j in range(edits):
+            w[r.randrange(140)] = f"e{i}x{j}"
+        return w
+
+    texts = [copy(i, 1 + i % 5) for i in range(400)]
+    sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in texts]
+    to = list(range(len(sets)))
+    find = lambda x: x if to[x] == x else find(to[x])
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= pc * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                to[max(x, y)] = min(x, y)
+    met, cut = [0], jaccard.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        met[0] += out.count() if name in ("opened", "pairs", "inner") else 0
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", counted)
+    got = jaccard.link_documents(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string"), k, pc).collect()
+    assert {x.doc_id: x.component_id for x in got} == {i: find(i) for i in range(len(texts))}
+    assert met[0] <= 5 * len(texts)  # some 31 for each text without families
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(20)] + [(50, 40), (40, 45)]
     got = dict(map(tuple, components.components(spark.createDataFrame(e, "a long, b long")).collect()))
