@@ -29,6 +29,7 @@ from changeloom.llm.shared import cut
 U64 = np.uint64
 HOT_LEAST, HOT_MOST, GROUP, ROUNDS, BITMAP = 12, 1 << 19, 16, 3, 1024
 FAMILY = 50  # percent of likeness to a head from which a class may be one of its family
+STARS = 3  # in how many stars of its entries a class is compared by whole sets; the rest meet later if they are still apart
 SAMPLED = U64(1 << 62)  # tokens below it, a quarter of all, are all counted: prefixes of texts with enough rare tokens hardly reach beyond
 HELD = 1 << 20  # of the others those are counted that repeat among so many tokens of a task, as those of large families do
 
@@ -209,38 +210,63 @@ def _families(near: DataFrame, full: DataFrame, level: int) -> DataFrame:
     return cut(to.join(moved, "a", "left").select("a", "na", f.alias("f")).select(F.col("a").alias("rep"), F.col("na").alias("size"), F.col("f.b").alias("head"), F.col("f.nb").alias("width"), F.col("f.both").alias("both")), "families")
 
 
-def _within(family: DataFrame, comp: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """a, b: links that join the components (node, comp) of each family wherever pairs of it qualify.
+def _within(family: DataFrame, one: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """a, b: the links `one`, and those that join their components in each family wherever pairs of it qualify.
 
-    Let d be what a set has and its head lacks, or the other way round. Two sets of x common entries of d share
-    (na + nb - |da| - |db|) / 2 + x tokens, so they qualify if gain a + gain b + 2 (100 + percent) x >= 0, with
-    gain = (100 + percent) (n - |d|) - 2 percent n. If two need no x, neither needs one with the set of largest gain: all such
-    are linked with that one. Others meet by entries in an order with frequent ones last; room is how many entries
+    Let d be what a set has and its family's centre lacks, or the other way round. Two sets of x common entries of d share
+    (na + nb - |da| - |db|) / 2 + x tokens, whatever the centre, so they qualify if gain a + gain b + 2 (100 + percent) x >= 0, with
+    gain = (100 + percent) (n - |d|) - 2 percent n. The centre is the head with those tokens turned round in which more than half of
+    its family differ from it; else all of them would share the lack of what the head alone has.
+
+    If two need no x, neither needs one with the set of largest gain: all such are linked with that one. Each is also compared
+    with the set of largest gain among those with one of its entries. So what qualifies in great numbers is joined by stars first.
+    The components that are left meet by entries in an order with frequent ones last; room is how many entries
     from this one on other components have too, so the first common entry tells how large x may be.
     """
     tokens = lambda x, n, t: full.select(F.col("id").alias(x), F.col("size").alias(n), F.col("tokens").alias(t))
-    gain = (100 + percent) * (2 * F.col("both") - F.col("width")) - 2 * percent * F.col("size")
-    who = family.withColumn("gain", gain).join(comp, F.col("rep") == F.col("node"), "left").select("rep", "size", "head", "width", "gain", F.coalesce("comp", "rep").alias("comp"))
-    who = cut(who, "who")
+    differ = lambda x, y: F.concat(F.array_except(x, y), F.array_except(y, x))
+    reach = lambda x: 2 * (100 + percent) * x
+    of = lambda comp: F.coalesce(comp["comp"], F.col("rep")).alias("comp")
+    comp = components(one)
+    who = cut(family.join(comp, F.col("rep") == F.col("node"), "left").select("rep", "size", "head", "width", of(comp)), "who")
+    several = who.groupBy("head", "width").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x < y")
+    heads = cut(several.select("head", "width", "m").join(tokens("head", "width", "h"), ["head", "width"]), "heads")
+    who = who.join(tokens("rep", "size", "t"), ["rep", "size"])
+    turned = who.join(heads, ["head", "width"]).select("head", "m", F.explode(differ("t", "h")).alias("entry")).groupBy("head", "m", "entry").agg(F.count("*").alias("c")).where("2 * c > m")
+    turned = turned.groupBy("head").agg(F.collect_list("entry").alias("turned"))  # no more than twice what one of the family differs by on average
+    centre = heads.join(turned, "head", "left").select("head", F.when(F.col("turned").isNull(), F.col("h")).otherwise(differ("h", "turned")).alias("centre"))
+    who = who.join(cut(centre, "centre"), "head").select("rep", "size", "head", "comp", differ("t", "centre").alias("d"))
+    who = cut(who.withColumn("gain", (100 + percent) * (F.col("size") - F.size("d")) - 2 * percent * F.col("size")), "gains")
+
     best = who.groupBy("head").agg(F.max(F.struct("gain", "rep")).alias("m"))
     sure = who.join(best, "head").where((F.col("gain") + F.col("m.gain") >= 0) & (F.col("rep") != F.col("m.rep"))).select(F.col("rep").alias("a"), F.col("m.rep").alias("b"))
+    entries = cut(who.select("rep", "size", "head", "comp", "gain", F.explode("d").alias("entry")), "differences")
+    stars = entries.groupBy("head", "entry").agg(F.max(F.struct("gain", "rep", "size", "comp")).alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("head", "entry", "m")
+    # x: in how many entries it has met that one, at least; most: how many there may be
+    stars = entries.join(stars, ["head", "entry"]).groupBy("rep", "size", "comp", "gain", "m").agg(F.count("*").alias("x"))
+    mine = Window.partitionBy("rep")
+    stars = stars.withColumn("most", F.sum("x").over(mine)).where("comp <> m.comp and rep <> m.rep").withColumn("rank", F.row_number().over(mine.orderBy(F.desc("x"), F.desc("m"))))
+    stars = cut(stars.select(F.col("rep").alias("a"), F.col("size").alias("na"), F.col("m.rep").alias("b"), F.col("m.size").alias("nb"), (F.col("gain") + F.col("m.gain")).alias("gain"), "x", "most", "rank"), "entry-stars")
+    likely = stars.where((reach(F.col("x")) + F.col("gain") < 0) & (reach(F.col("most")) + F.col("gain") >= 0) & (F.col("rank") <= STARS)).select("a", "na", "b", "nb")
+    one = one.union(sure).union(stars.where(reach(F.col("x")) + F.col("gain") >= 0).select("a", "b")).union(_verified(likely, full, percent).select("a", "b"))
+    one = cut(one, "star-links")
+
+    comp = components(one)
+    who = cut(who.drop("comp").join(comp, F.col("rep") == F.col("node"), "left").select("rep", "size", "head", "gain", "d", of(comp)), "who")
     # the largest gain of another component, for each component of a family
     tops = who.groupBy("head", "comp").agg(F.max("gain").alias("top"))
     first = tops.groupBy("head").agg(F.max(F.struct("top", "comp")).alias("f"))
     second = tops.join(first, "head").where(F.col("comp") != F.col("f.comp")).groupBy("head", "f").agg(F.max("top").alias("second"))
-    open_ = who.join(second, "head").select("rep", "size", "head", "width", "gain", "comp", F.when(F.col("comp") == F.col("f.comp"), F.col("second")).otherwise(F.col("f.top")).alias("top"))
-    both = open_.join(tokens("rep", "size", "t"), ["rep", "size"]).join(tokens("head", "width", "h"), ["head", "width"])
-    entries = both.select("rep", "size", "head", "gain", "comp", "top", F.explode(F.concat(F.array_except("t", "h"), F.array_except("h", "t"))).alias("entry"))
-    entries = cut(entries, "entries")
+    top = F.when(F.col("comp") == F.col("f.comp"), F.col("second")).otherwise(F.col("f.top")).alias("top")
+    entries = cut(who.join(second, "head").select("rep", "size", "head", "gain", "comp", top, F.explode("d").alias("entry")), "entries")
     known = entries.groupBy("head", "entry").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("head", "entry", "c")
     room = F.row_number().over(Window.partitionBy("head", "rep").orderBy(F.desc("c"), F.desc("entry")))
-    reach = lambda x: 2 * (100 + percent) * x
     entries = entries.join(known, ["head", "entry"]).withColumn("room", room).where(reach(F.col("room")) + F.col("gain") + F.col("top") >= 0)
     entries = cut(entries.select("rep", "size", "head", "gain", "comp", "entry", "room"), "rooms")
     other = entries.withColumnsRenamed({"rep": "b", "size": "nb", "head": "h", "gain": "gb", "comp": "cb", "entry": "e", "room": "rb"})
     fits = (F.col("comp") < F.col("cb")) & (reach(F.least("room", "rb")) + F.col("gain") + F.col("gb") >= 0)
     pairs = entries.join(other, (F.col("head") == F.col("h")) & (F.col("entry") == F.col("e")) & fits).select(F.col("rep").alias("a"), F.col("size").alias("na"), "b", "nb")
-    return sure.union(_verified(cut(pairs.distinct(), "inner"), full, percent).select("a", "b"))
+    return one.union(_verified(cut(pairs.distinct(), "inner"), full, percent).select("a", "b"))
 
 
 def _components_of(base: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -256,7 +282,7 @@ def _components_of(base: DataFrame, classes: DataFrame, k: int, percent: int) ->
     near = cut(_verified(stars, full, level), "alike")
     family = _families(near, full, level)
     one = near.where(_reaches(F.col("both"), F.col("na"), F.col("nb"), percent)).select("a", "b")
-    one = cut(one.union(_within(family, components(one), full, percent)), "links")
+    one = cut(_within(family, cut(one, "alike-links"), full, percent), "links")
     comp = cut(components(one), "comp")
 
     # the matrix: tokens of those that must share one, by group; tokens within one component open nothing

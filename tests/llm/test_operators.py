@@ -97,6 +97,48 @@ def test_jaccard_family_of_near_copies(spark, monkeypatch, k, pc):
     assert met[0] <= 5 * len(texts)  # some 31 for each text without families
 
 
+@pytest.mark.parametrize("k, pc, kind", [(5, 80, "odd head"), (4, 85, "odd head"), (5, 80, "nested")])
+def test_jaccard_family_apart_from_its_head(spark, monkeypatch, k, pc, kind):
+    """Near copies that all lack what their head has changed, or copies of changed copies: right components, and neither a family's pairs nor links grow with the square of its size."""
+    r = random.Random(7)
+    base = [f"b{i}" for i in range(160)]
+
+    def copy(of, tag, edits):
+        w = list(of)
+        for j in r.sample(range(160), edits):
+            w[j] = f"{tag}x{j}"
+        return w
+
+    second, n = copy(base, "p", 5), 300
+    third = copy(second, "q", 3)
+    if kind == "nested":
+        texts = [copy((base, second, third)[i % 3], f"e{i}", 1 + i // 3 % 3) for i in range(n)]
+    else:  # the first of them has most changes
+        texts = [copy(base, f"e{i}", 1 + i % 3 if i else 7) for i in range(n)]
+    sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in texts]
+    to, links = list(range(n)), 0
+    find = lambda x: x if to[x] == x else find(to[x])
+    for a in range(n):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= pc * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                to[max(x, y)] = min(x, y)
+                links += 1
+    assert links > 10 * n
+    met, cut = {}, jaccard.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        if name in ("inner", "links"):
+            met[name] = met.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", counted)
+    got = jaccard.link_documents(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string"), k, pc).collect()
+    assert {x.doc_id: x.component_id for x in got} == {i: find(i) for i in range(n)}
+    assert sum(met.values()) <= 5 * n, met
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(20)] + [(50, 40), (40, 45)]
     got = dict(map(tuple, components.components(spark.createDataFrame(e, "a long, b long")).collect()))
