@@ -131,6 +131,15 @@ def test_resolution_brute_force(spark):
     assert resolve.resolve_calls(*[f.limit(0) for f in frames]).count() == 0
 
 
+def test_own_type_with_many_methods_drops_a_bare_call(spark):
+    node = lambda i, name, owner: (1, i, "a/one.py", "python", "method" if owner else "function", name, owner, i * 10, i * 10 + 5, False)
+    nodes = [*[node(i, "run", "Ta") for i in range(5)], node(5, "run", None), node(6, "stop", "Ta"), node(7, "stop", "Tb"), node(8, "go", None)]
+    calls = [(1, 6, "none", "", "run"), (1, 7, "none", "", "run"), (1, 8, "none", "", "run")]
+    ddl = ["node long, path string, language string, kind string, name string, owner string, start long, end long, test boolean", "node long, form string, qualifier string, name string", "node long, var string, type string, declared boolean", "owner string, field string, type string", "alias string, type string", "child string, parent string", "path string, node long, word string"]
+    frames = [spark.createDataFrame(x, f"change_id long, {d}") for x, d in zip([nodes, calls, [], [], [], [], []], ddl, strict=True)]
+    assert {(x.src, x.dst) for x in resolve.resolve_calls(*frames).collect()} == {(7, 5), (8, 5)}
+
+
 def test_type_names(spark):
     cases = {"&mut Foo": ("Foo", "Foo"), "pkg.Type[int]": ("Type", "Type"), "Option<Box<B>>": ("Option", "B"), "int": (None, None), "Result<Vec<T>, E>": ("Result", "Vec"), "-> Optional[a.B]": (None, "B"), "None | Foo": ("None", "Foo"), "(*Foo, error)": (None, "Foo"), '"Foo"': (None, "Foo"), "Promise<Promise<Promise<Promise<X>>>>": ("Promise", "Promise"), "": (None, None)}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
