@@ -184,6 +184,19 @@ def test_graph(spark):
     assert [tuple(r)[1:] for r in order.orderBy("step").collect()] == [(0, 1, 0, False), (1, 2, 1, False), (2, 3, 2, False), (3, 3, 1, True), (4, 4, 0, False), (5, 6, 1, False), (6, 4, 2, True)]
 
 
+def test_reading_order_of_many_changes_and_large_numbers(spark):
+    """Numbers that no float holds, a change without edges, an edge to no node, null nodes, and batches of changes."""
+    big = 2**60
+    nodes = spark.createDataFrame([(1, big + 1), (1, big + 3), (1, big + 5), (2, 7), (2, 7), (3, None)], "c long, node long")
+    edges = spark.createDataFrame([(1, big + 1, big + 3), (1, big + 3, big + 5), (1, big + 3, big + 1), (2, 7, 8), (2, 7, 7), (2, 7, None), (4, 1, 2)], "c long, src long, dst long")
+    got = sorted(tuple(x) for x in graph.reading_order(nodes, edges, "c").collect())
+    assert got == [(1, 0, big + 1, 0, False), (1, 1, big + 3, 1, False), (1, 2, big + 1, 2, True), (1, 3, big + 5, 2, False), (2, 0, 7, 0, False)]
+    many = spark.range(30000).select(F.col("id").alias("c"), F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("node"))
+    pairs = many.groupBy("c").agg(F.max("node").alias("src"), F.min("node").alias("dst"))
+    out = graph.reading_order(many, pairs, "c").groupBy("step", "node", "depth", "repeat").count().collect()
+    assert sorted(tuple(x) for x in out) == [(0, 2, 0, False, 30000), (1, 1, 1, False, 30000)]
+
+
 def test_reviews_and_hunks(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 40), (40, 45)], "a long, b long")
     assert dict(rows(reviews.units(e))) == {i: 0 for i in range(21)} | {50: 40, 40: 40, 45: 40}
