@@ -1,12 +1,16 @@
 import random
+import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from changeloom.functions import paths
 from changeloom.functions import text as T
 from changeloom.operators import events as E
-from changeloom.operators import graph, mentions, pairs
+from changeloom.operators import blocks, graph, mentions, pairs
 from changeloom.sources import patches
 
 
@@ -57,6 +61,61 @@ def test_review_stats(spark):
     assert rows(pairs.review_stats(pairs.line_diff(df, spark.createDataFrame([(1, 1)], "a long, b long"), "k", "t"))) == []
 
 
+def test_pairs_in_blocks_brute_force(spark):
+    """A family of more texts than a block holds, equal and empty texts, repeated keys, keys without a text, and columns in several chunks."""
+    r = random.Random(9)
+    white = "".join(chr(c) for c in [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000] if c not in (10, 13))
+    line = lambda: r.choice(["", " ", "x", f"w{r.randrange(9)} {r.choice(white)}y{r.randrange(3)}", "same\x1c line", "same line"])
+    texts = {k: "\n".join(line() for _ in range(r.randrange(6))) for k in range(200)} | {200: None, 201: "", 202: "\n", 203: "\n\nb"}
+    data = [*texts.items(), (5, "again\nx"), (None, "x")]
+    found = {(a, b) for a in range(206) for b in range(a, 206) if r.random() < 0.4 or b > 199} | {(900, 900)}
+    lines, words = {}, {}
+    for k, t in data:
+        parts = re.split("\r?\n", t or "")
+        lines.setdefault(k, []).extend(parts[:-1] if parts[-1] == "" else parts)
+        words.setdefault(k, []).extend(w for w in re.split(f"[{white}\n\r]+", t or "") if w)
+
+    def common(per, a, b):
+        x, y = Counter(per.get(a, [])), Counter(per.get(b, []))
+        return sum((x & y).values()), sum(x.values()), sum(y.values())
+
+    df = spark.createDataFrame(data, "k long, t string").repartition(3)
+    p = spark.createDataFrame(sorted(found), "a long, b long").repartition(3)
+    want = [(a, b, y - n, x - n, n) for a, b in sorted(found) for n, x, y in [common(lines, a, b)] if x + y]
+    assert rows(pairs.line_multiset_diff(df, p, "k", "t")) == want
+    want = [(a, b, 2 * n, x + y) for a, b in sorted(found) for n, x, y in [common(words, a, b)] if x + y]
+    assert rows(pairs.token_dice(df, p, "k", "t")) == want
+    once = df.where("t <> 'again\nx' or t is null")
+    diff = pairs.line_diff(once, p, "k", "t")
+    assert rows(pairs.pair_stats(once, p, "k", "t")) == rows(pairs.review_stats(diff))
+    got = {}
+    for x in diff.orderBy("a", "b", "seq").collect():
+        got.setdefault((x.a, x.b), []).append((x.kind, x.old_no or 0, x.new_no or 0, x.line))
+    lines[5] = lines[5][:-2]
+    for a, b in found:
+        o, n = lines.get(a, []), lines.get(b, [])
+        assert got.pop((a, b), []) == [(k, i, j, o[i - 1] if i else n[j - 1]) for k, i, j in pairs.align(o, n)]
+    assert not got
+    blocks_of = [[str(i % 7), str(i), str(i)] for i in range(50)]
+    x, y = np.array([1, 1, 3, 8]), np.array([8, 1, 10, 1])
+    cells, blocks.CELLS = blocks.CELLS, 100
+    both, n = blocks.shared_counts(blocks_of, x, y)
+    blocks.CELLS = cells
+    assert both.tolist() == [1, 3, 1, 1] and set(n) == {3}
+
+
+def test_a_block_holds_a_few_texts(spark):
+    """A family's pairs are dealt to many groups, and a group's texts are no more than those of two blocks."""
+    one = spark.range(600).select(F.col("id").alias("k"), F.array(F.lit("x")).alias("units"))
+    p = one.select(F.col("k").alias("a")).join(one.select(F.col("k").alias("b"))).where("a < b")
+
+    def work(texts, x, y):
+        yield np.array([0]), [pa.array([len(x)])]
+
+    sizes = [x.n for x in blocks.over_pairs(one, p, "k", work, "n long").collect()]
+    assert sum(sizes) == 600 * 599 // 2 and len(sizes) >= 15 and max(sizes) < 4 * blocks.BLOCK**2 // 2
+
+
 def test_version_pairs_of_common_lines(spark):
     r = random.Random(4)
     text = {i: [f"line {r.randrange(12)}" for _ in range(r.randrange(2, 9))] for i in range(40)}
