@@ -5,9 +5,14 @@ Rows with a null key are a key of their own unless a docstring says otherwise; e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from changeloom.operators import blocks
 from changeloom.sources.tables import settle
 
 
@@ -51,15 +56,27 @@ def swapped_imports(old: DataFrame, new: DataFrame, file: list[str]) -> DataFram
 def extractions(lines: DataFrame, pairs: DataFrame, key: str, least: int = 3, share: int = 2, percent: int = 70) -> DataFrame:
     """key, n_lines, n_covered, receivers (sorted): texts whose lines (key, norm) went to others.
 
-    pairs (a, b) are those that may have received a's lines, `share` different ones at least each; there must be two or more,
-    and together they must hold `percent` percent of a's lines, of which there are `least` or more.
+    pairs (a, b), each once, are those that may have received a's lines, `share` different ones at least each; there must be two or more,
+    and together they must hold `percent` percent of a's lines, of which there are `least` or more. Lines meet by their MD5.
     """
-    own = lines.select(key, "norm").distinct()
-    size = own.groupBy(key).agg(F.count("*").alias("n_lines")).where(F.col("n_lines") >= least)
-    given = pairs.join(own.withColumnRenamed(key, "a"), "a").join(own.withColumnRenamed(key, "b"), ["b", "norm"])
-    given = given.withColumn("_c", F.count("*").over(Window.partitionBy("a", "b"))).where(F.col("_c") >= share)
-    got = given.groupBy("a").agg(F.count_distinct("norm").alias("n_covered"), F.sort_array(F.collect_set("b")).alias("receivers")).withColumnRenamed("a", key)
-    return got.join(size, key).where((F.size("receivers") >= 2) & (100 * F.col("n_covered") >= percent * F.col("n_lines"))).select(key, "n_lines", "n_covered", "receivers")
+    own = lines.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_set(F.base64(F.unhex(F.md5("norm")))).alias("s"))
+    units = own.select(key, F.concat(F.array(F.hex(F.col(key).cast("string"))), "s").alias("units"))  # with their keys no two texts are equal
+
+    def work(texts: list[list[str]], x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
+        sets = [frozenset(t[1:]) for t in texts]
+        for left, part in blocks.by_left(x, y):
+            at, covered = [], set()
+            for k, right in zip(part.tolist(), y[part].tolist(), strict=True):
+                both = sets[left] & sets[right]
+                if len(both) >= share:
+                    at.append(k)
+                    covered |= both
+            if at:  # what the text's pairs of this group cover stands with the first
+                yield np.array(at), [pa.array([len(sets[left])] * len(at)), pa.array([list(covered), *[None] * (len(at) - 1)], pa.list_(pa.string()))]
+
+    given = blocks.over_pairs(units, pairs, key, work, "n_lines long, covered array<string>")
+    got = given.groupBy(F.col("a").alias(key)).agg(F.max("n_lines").alias("n_lines"), F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).cast("long").alias("n_covered"), F.sort_array(F.collect_set("b")).alias("receivers"))
+    return got.where((F.col("n_lines") >= least) & (F.size("receivers") >= 2) & (100 * F.col("n_covered") >= percent * F.col("n_lines"))).select(key, "n_lines", "n_covered", "receivers")
 
 
 def stale_calls(calls: DataFrame, symbol: list[str], updated: Column) -> DataFrame:

@@ -259,3 +259,26 @@ def test_oracle(spark, name):
     assert cols == sorted(got.columns)
     quote = lambda q: [f"{q}{x}{q}" for x in cols]
     assert sorted(str(tuple(r)) for r in got.select(*quote("`")).collect()) == sorted(map(str, want.select(*quote('"')).fetchall()))
+
+
+def test_extractions_and_moved_runs_in_blocks(spark):
+    """A family larger than a block: receivers and what they cover are gathered over all of its groups; runs are those of the joined lines."""
+    r = random.Random(5)
+    texts = {k: [f"l{r.randrange(14)}" for _ in range(r.randrange(9))] for k in range(300)} | {300: ["l1"] * 70 + ["l2", "l3", "l4"]}
+    found = sorted((a, b) for a in texts for b in texts if a < b and r.random() < 0.2)
+    lines = spark.createDataFrame([(k, i, x) for k, t in texts.items() for i, x in enumerate(t, 1)], "k long, at long, norm string")
+    p = spark.createDataFrame(found, "a long, b long")
+    both = p.union(p.select("b", "a"))
+    want = []
+    for k, t in texts.items():
+        got = {b: set(t) & set(texts[b]) for x in found for a, b in (x, x[::-1]) if a == k}
+        got = {b: s for b, s in got.items() if len(s) >= 2}
+        covered = set().union(*got.values())
+        if len(set(t)) >= 3 and len(got) >= 2 and 100 * len(covered) >= 70 * len(set(t)):
+            want.append((k, len(set(t)), len(covered), sorted(got)))
+    got = sorted(tuple(x) for x in reviews.extractions(lines, both, "k").collect())
+    assert got == sorted(want) and len(want) > 150
+    side = lambda x: p.join(lines.withColumnRenamed("k", x), x).select("a", "b", "at", "norm")
+    units = lines.groupBy("k").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "norm"))), lambda x: x["norm"]).alias("units"))
+    got = rows(calls.moved_runs_of_pairs(units, p, "k", 2))
+    assert got == rows(calls.moved_runs(side("a"), side("b"), ["a", "b"], 2)) and len(got) > 100
