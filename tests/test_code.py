@@ -282,3 +282,13 @@ def test_extractions_and_moved_runs_in_blocks(spark):
     units = lines.groupBy("k").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "norm"))), lambda x: x["norm"]).alias("units"))
     got = rows(calls.moved_runs_of_pairs(units, p, "k", 2))
     assert got == rows(calls.moved_runs(side("a"), side("b"), ["a", "b"], 2)) and len(got) > 100
+
+
+def test_paths_with_a_common_end(spark):
+    """Asked ends meet the first path of each end, not all of them: one row for each asked path and end."""
+    known = spark.range(3000).select(F.col("id").alias("k"), F.concat(F.lit("en/"), (F.col("id") + 1000).cast("string"), F.lit("/")).alias("path"))
+    asked = spark.range(2000).select(F.col("id").alias("k"), F.when(F.col("id") < 1990, "").otherwise("x/en/1007/").alias("path"))
+    got = calls.resolve_paths(asked, known, "k")
+    assert {(x.path, x.n) for x in got.groupBy("path").agg(F.count("*").alias("n")).collect()} == {("en/1000/", 1990), ("en/1007/", 10)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(path" in plan.split("Generate")[0] and plan.count("min(path") == 1
